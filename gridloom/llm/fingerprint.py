@@ -91,13 +91,17 @@ def fingerprint_chain(docs: DataFrame, k: int = K, size: int = SIZE) -> DataFram
     ids = settle(ids, "ids")
     repeated = ids.filter("n > 1").limit(1).count() > 0
     links = successors(ids.select("doc_id")).join(ids.select("doc_id", "m"), "doc_id")
-    after = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else docs
-    after = with_sketches(after.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), {"next_sketch": "next_text"}, k, size)
-    heads = links.join(after, "next_id").select("doc_id", F.substr("next_text", F.lit(1), F.col("m")).alias("head"), "next_sketch")
-    both = docs.join(heads, "doc_id", "left")
+    # both joins read the same exchange of the texts by doc_id; sketches are made behind it
+    known = docs.filter("doc_id is not null")
+    after = known.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else known
+    heads = with_sketches(links.select(F.col("doc_id").alias("of"), F.col("next_id").alias("doc_id"), "m").join(after, "doc_id"), {"next_sketch": "text"}, k, size)
+    heads = heads.select("of", F.substr("text", F.lit(1), F.col("m")).alias("head"), "next_sketch")
+    both = known.join(heads, F.col("doc_id") == F.col("of")).drop("of")
+    alone = docs.filter("doc_id is null").withColumns({"head": F.lit(""), "next_sketch": F.lit(None).cast("array<bigint>")})
     n = F.length("text")
     m = F.floor(n / 3).cast("int")
-    both = both.select("doc_id", "text", n.cast("long").alias("n_chars"), "next_sketch", F.concat(F.substr("text", F.lit(1), n - m), F.substr(F.coalesce("head", F.lit("")), F.lit(1), m)).alias("edited"))
+    edited = F.concat(F.substr("text", F.lit(1), n - m), F.substr("head", F.lit(1), m))
+    both = both.unionByName(alone).select("doc_id", "text", n.cast("long").alias("n_chars"), "next_sketch", edited.alias("edited"))
     return with_sketches(both, {"sketch": "text", "edited_sketch": "edited"}, k, size)
 
 
