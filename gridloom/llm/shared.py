@@ -115,7 +115,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tupl
         return words, owner
     sums = np.zeros(n, np.uint64)
     factor = _BASE
-    for k in range(size):
+    for k in range(min(size, n)):
         factor = factor * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D & (1 << 64) - 1
         same = owner[k:] == owner[: n - k]
         sums[: n - k] += np.where(same, words[k:] * np.uint64(factor | 1), np.uint64(0))
