@@ -37,7 +37,8 @@ def is_sql(code: Column) -> Column:
 def extract_code(text: Column, sql_mode: bool = False) -> Column:
     """The first SQL block if it is SQL, else the first Python block if it is a step, else the first plain block right for the mode."""
     sql, python = F.get(blocks(text, "sql"), F.lit(0)), F.get(blocks(text, "python"), F.lit(0))
-    plain = F.get(F.filter(blocks(text), is_sql if sql_mode else is_step), F.lit(0))
+    untagged = F.regexp_replace(text, r"(?s)```\w+\s*\n.*?\n```", "")  # the end of a tagged block opens no plain one
+    plain = F.get(F.filter(blocks(untagged), is_sql if sql_mode else is_step), F.lit(0))
     return F.when(F.coalesce(is_sql(sql), F.lit(False)), sql).when(F.coalesce(is_step(python), F.lit(False)), python).otherwise(plain)
 
 

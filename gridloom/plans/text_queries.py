@@ -78,7 +78,7 @@ def multiline_round_trip(spark, sf_dir):
 def spanning_records(spark, sf_dir):
     """Film-like records over two lines each, rendered from parts; the second line continues the first."""
     part = table(spark, sf_dir, "part").withColumn("size", F.col("p_size"))
-    line = F.concat(F.concat_ws("\t", "p_name", F.concat(F.lit("May "), F.col("p_size").cast("string"), F.lit(", 2019")), "p_brand", "p_type"), F.lit("\nCo-director: "), F.col("p_brand"))
+    line = F.concat(F.concat_ws("\t", "p_name", F.concat(F.lit("May "), F.col("p_size").cast("string"), F.lit(", 2019")), "p_brand", "p_type"), F.lit("\nCo-director:\t"), F.col("p_brand"))
     rows, meta = texttable.parse_tables(_texts(part, "size", "p_partkey", line, "Title\tDate\tDirector\tWriter(s)\tProducer\tComposer\tStudio\nStory\tScreenplay"))
     return rows.join(meta, "id").select("id", "row_no", "layout", F.array_join("cells", "|").alias("cells"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _one_object_a_line(spark: SparkSession, path: str) -> bool:
+    """Does the first line of a JSON file hold a whole object?"""
+    first = spark.read.text(path).filter(F.trim("value") != "").first()
+    try:
+        return isinstance(json.loads(first.value), dict) if first else False
+    except ValueError:
+        return False
+
+
 def load(spark: SparkSession, path: str, format: str | None = None, schema=None) -> DataFrame:
     """Read by the path's extension (unknown ones as CSV), or by ``format``: csv, parquet or json. A given schema saves CSV a scan."""
     if format is not None and format not in FORMATS:
@@ -47,6 +57,8 @@ def load(spark: SparkSession, path: str, format: str | None = None, schema=None)
     kind, options = READERS.get(format or extension(path), READERS["csv"])
     if kind == arrow_ipc.NAME:
         arrow_ipc.register(spark)
+    if kind == "json" and options and _one_object_a_line(spark, path):
+        options = {}
     reader = spark.read.format(kind).options(**options)
     if schema is not None:
         reader = spark.read.format(kind).options(**{k: v for k, v in options.items() if k != "inferSchema"}).schema(schema)
@@ -75,9 +87,13 @@ def check(spark: SparkSession, path: str) -> str | None:
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str) -> int:
-    """Lines of a CSV that don't fit a schema."""
-    df = spark.read.schema(schema + ", _corrupt_record string").options(header="true", mode="PERMISSIVE").csv(path)
-    return df.select("*", F.col("_corrupt_record").alias("bad")).filter("bad is not null").count()
+    """Lines of a CSV with header that don't fit a schema."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    header = lines.first()
+    if header is None:
+        return 0
+    read = F.from_csv("value", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.filter(F.col("value") != header.value).select(read.alias("r")).filter("r._corrupt_record is not null").count()
 
 
 def as_text(df: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     properties = properties or {}
     if column is None:
         return spark.read.jdbc(url, table, properties=properties)
-    low, high = spark.read.jdbc(url, f"(select min({column}) as lo, max({column}) as hi from {table}) t", properties=properties).first()
+    quoted = f"`{column}`" if url.startswith("jdbc:mysql") else f'"{column}"'
+    low, high = spark.read.jdbc(url, f"(select min({quoted}) as lo, max({quoted}) as hi from {table}) t", properties=properties).first()
     if low is None:
         return spark.read.jdbc(url, table, properties=properties)
     return spark.read.jdbc(url, table, column=column, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=parts, properties=properties)
