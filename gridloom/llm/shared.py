@@ -1,34 +1,32 @@
-"""What several operators need: tables in the shared folder, text blocks, word and shingle hashes."""
+"""What several operators need: text blocks, word and shingle hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Bytes of text that one numpy step holds at once in a task.
-BLOCK_BYTES = 1 << 20
-_LOCAL: dict[str, str] = {}
+from gridloom.scratch import settle, shared_folder
 
+__all__ = ["batch_rows", "blocks", "mix", "offsets_of", "settle", "shared_folder", "shingle_hashes", "text_bytes", "word_hashes"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; a temporary one only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    return _LOCAL.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+#: Bytes of text that one numpy step holds at once in a task.
+BLOCK_BYTES = 1 << 20
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of a batch that goes to Python, for the jobs run inside: long texts make batches of Spark's default large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
