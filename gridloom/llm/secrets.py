@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.shared import shared_folder
+from gridloom.llm.shared import batch_rows, shared_folder
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,8 @@ def update_ledger(texts: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES
         number = F.coalesce(*[F.when((F.col("rule") == r.kind) & (F.col("version") == r.version), k) for k, r in enumerate(rules)])
         done = known.select("blob", number.alias("k")).filter("k is not null").groupBy("blob").agg(F.collect_set("k").alias("done"))  # as many as rules
         todo = blobs.dropDuplicates(["blob"]).join(done, "blob", "left").withColumn("todo", F.array_except(F.array(*every), F.coalesce("done", F.array().cast("array<int>")))).drop("done").filter(F.size("todo") > 0)
-    scan(todo, rules).write.mode("append").option("compression", "zstd").parquet(ledger)
+    with batch_rows(spark, 1000):
+        scan(todo, rules).write.mode("append").option("compression", "zstd").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger)
 
 
