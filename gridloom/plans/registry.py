@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import order, search
-from gridloom.plans import columns_queries, edit_queries, frame_queries, search_queries, sql_queries, text_queries
+from gridloom.plans import columns_queries, edit_queries, frame_queries, search_queries, source_queries, sql_queries, text_queries
 
-_MODULES = (search_queries, columns_queries, edit_queries, frame_queries, sql_queries, text_queries)
+_MODULES = (search_queries, columns_queries, edit_queries, frame_queries, sql_queries, text_queries, source_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.BOOK.queries.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.BOOK.oracles.items()}
 

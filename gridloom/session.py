@@ -20,4 +20,6 @@ def local_session(cores: int = 8, memory: str = "6g", **conf: str) -> SparkSessi
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))  # Python workers need the package too
+    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys(filter(None, [root, *os.environ.get("PYTHONPATH", "").split(os.pathsep)])))
     return builder.getOrCreate()
