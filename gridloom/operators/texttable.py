@@ -1,7 +1,7 @@
 """Messy table texts to clean rows (M01-M20), for a table of texts (id, text) at once.
 
 Lines are rows and cells are arrays; a text's layout is decided by expressions over its first eleven lines, which are the only ones
-gathered. ``parity=True`` keeps three habits of the spreadsheet that lose data: a leading tab is stripped, rank-only lines fall to the
+gathered. Lines, facts and rows are each written once to the shared folder, since every layout's branch reads them. ``parity=True`` keeps three habits of the spreadsheet that lose data: a leading tab is stripped, rank-only lines fall to the
 title filter, and ranked rows don't start records. Null and blank texts, and one line without separator, give no table.
 """
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.types import pasted_number, strip
+from gridloom.scratch import settle
 
 HEAD = 11
 #: Marks and words that the layout tests look for.
@@ -180,7 +181,7 @@ def _records(rows: DataFrame, parity: bool) -> DataFrame:
 def parse_tables(texts: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows (id, row_no, cells) from 0, the header row first where there is one, and for each text (id, layout, has_headers, separator,
     num_rows, num_cols, is_messy)."""
-    rows = rows_of(texts, parity)
+    rows = settle(rows_of(texts, parity), "text-rows")
     wide = F.col("ne") >= F.col("max_cols") * 0.6
     first = _first(F.col("cells"))
     solid = (F.col("n") >= 2) & (F.col("ne") >= F.size("cells") * 0.5) & (is_digits(first) | (F.length(first) > 3) | F.exists(F.slice("cells", 1, 3), lambda c: F.length(strip(c)) > 2))
@@ -195,24 +196,33 @@ def parse_tables(texts: DataFrame, parity: bool = False) -> tuple[DataFrame, Dat
     start = F.when(F.col("layout") == "multiline", F.when(F.col("ranked") > 0, F.col("ranked")).otherwise(F.greatest(F.lit(3), F.floor(F.col("n_rows") / 2)))).when(
         F.col("layout") == "complex", F.coalesce("solid", F.greatest(F.lit(2), F.floor(F.col("n_rows") / 4)))
     )
-    facts = facts.withColumn("layout", layout.otherwise("plain")).withColumn("start", start.cast("int"))
+    facts = settle(facts.withColumn("layout", layout.otherwise("plain")).withColumn("start", start.cast("int")), "text-facts")
     every = rows.join(facts.select("id", "layout", "start", "head"), "id")
     clean = F.transform(padded(F.col("cells"), F.col("max_cols")), clean_cell)
     order = Window.partitionBy("id").orderBy("n")
 
+    found = {r.layout for r in facts.select("layout").distinct().collect()}  # seven at most; only their branches are planned
     # plain and single: padded; messy, multiline, complex: cleaned rows from the start on
-    as_is = every.filter("layout in ('plain', 'single')").select("id", "n", padded(F.col("cells"), F.col("max_cols")).alias("cells"))
-    cleaned = every.filter("layout = 'messy' or (layout in ('multiline', 'complex') and n >= start)").select("id", "n", clean.alias("cells")).filter(filled(F.col("cells")) > 0)
-    # split: a rank line and the line behind it are one row
-    rank = (F.col("n") > 0) & (F.col("ne") == 1) & is_digits(first)
-    pairs = every.filter("layout = 'split'").withColumn("joins", rank & (F.coalesce(F.lead("ne").over(order), F.lit(0)) >= 3)).withColumn("gone", F.coalesce(F.lag("joins").over(order), F.lit(False))).withColumn("after", F.lead("cells").over(order))
-    merged = F.when(F.col("joins"), F.concat(F.array(first), F.col("after"))).otherwise(F.col("cells"))
-    split = pairs.filter("not gone").select("id", "n", F.when(F.col("n") == 0, F.col("cells")).otherwise(padded(merged, F.col("max_cols"))).alias("cells"))
-    body = as_is.unionByName(cleaned).unionByName(split).unionByName(_records(every, parity))
+    parts = [every.filter("layout in ('plain', 'single')").select("id", "n", padded(F.col("cells"), F.col("max_cols")).alias("cells"))]
+    if found & {"messy", "multiline", "complex"}:
+        parts.append(every.filter("layout = 'messy' or (layout in ('multiline', 'complex') and n >= start)").select("id", "n", clean.alias("cells")).filter(filled(F.col("cells")) > 0))
+    if "split" in found:  # a rank line and the line behind it are one row
+        rank = (F.col("n") > 0) & (F.col("ne") == 1) & is_digits(first)
+        pairs = every.filter("layout = 'split'").withColumn("joins", rank & (F.coalesce(F.lead("ne").over(order), F.lit(0)) >= 3)).withColumn("gone", F.coalesce(F.lag("joins").over(order), F.lit(False))).withColumn("after", F.lead("cells").over(order))
+        merged = F.when(F.col("joins"), F.concat(F.array(first), F.col("after"))).otherwise(F.col("cells"))
+        parts.append(pairs.filter("not gone").select("id", "n", F.when(F.col("n") == 0, F.col("cells")).otherwise(padded(merged, F.col("max_cols"))).alias("cells")))
+    if "spanning" in found:
+        parts.append(_records(every, parity))
     # headers made from several lines come first
-    made = facts.filter("layout in ('spanning', 'complex')").select("id", F.lit(-1).alias("n"), F.when(F.col("layout") == "spanning", _spanning_header(F.col("head"), F.col("max_cols"))).otherwise(_general_header(F.col("head"), F.col("max_cols"))).alias("cells"))
-    made = made.unionByName(_multiline_headers(every).select("id", F.lit(-1).alias("n"), F.col("merged").alias("cells")))
-    final = body.unionByName(made).select("id", (F.row_number().over(order) - 1).alias("row_no"), "cells")
+    for name, header in (("spanning", _spanning_header), ("complex", _general_header)):
+        if name in found:
+            parts.append(facts.filter(F.col("layout") == name).select("id", F.lit(-1).alias("n"), header(F.col("head"), F.col("max_cols")).alias("cells")))
+    if "multiline" in found:
+        parts.append(_multiline_headers(every).select("id", F.lit(-1).alias("n"), F.col("merged").alias("cells")))
+    body = parts[0]
+    for part in parts[1:]:
+        body = body.unionByName(part)
+    final = settle(body.select("id", (F.row_number().over(order) - 1).alias("row_no"), "cells"), "text-tables")
 
     two = final.filter("row_no < 2").groupBy("id").agg(F.max(F.when(F.col("row_no") == 0, F.struct("cells"))).alias("a"), F.max(F.when(F.col("row_no") == 1, F.struct("cells"))).alias("b"))
     counts = final.groupBy("id").agg(F.count("*").alias("num_rows"))
