@@ -68,7 +68,7 @@ def join_nulls(spark, sf_dir):
 
 
 @BOOK.add(
-    """SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS "F", sum(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS "O", sum(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS "P" FROM orders GROUP BY 1"""
+    """SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS BIGINT) AS "F", CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS BIGINT) AS "O", CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS BIGINT) AS "P" FROM orders GROUP BY 1"""
 )
 def pivot_status(spark, sf_dir):
     return frame.pivot(table(spark, sf_dir, "orders"), "o_orderstatus", ["o_custkey"], F.sum(F.lit(1).cast("bigint")), ["F", "O", "P"])
