@@ -151,6 +151,20 @@ def test_profile(spark):
     assert [(r.column, r.kind) for r in extraction_advice(spark.createDataFrame([("1 kg", "x"), ("b", "y")], "a string, b string")).orderBy("column").collect()] == [("a", "integer"), ("b", None)]
 
 
+def test_medians(spark):
+    import random
+    import statistics
+
+    rng = random.Random(8)
+    a = [rng.gauss(0, 1) for _ in range(4001)]
+    b = [rng.randrange(5) for _ in range(4001)]
+    rows = [(x, y if k % 2 else None, None, 7) for k, (x, y) in enumerate(zip(a, b))]
+    got = profile.medians(spark.createDataFrame(rows, "a double, b int, c double, d int"), ["a", "b", "c", "d"])
+    assert got == {"a": statistics.median(a), "b": statistics.median([r[1] for r in rows if r[1] is not None]), "c": None, "d": 7.0}
+    assert profile.medians(spark.createDataFrame([(1.0,), (4.0,)], "x double"), ["x"]) == {"x": 2.5}
+    assert profile.medians(spark.createDataFrame([], "x double"), ["x"]) == {"x": None}
+
+
 # ---------------------------------------------------------------- text tables
 
 
