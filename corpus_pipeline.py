@@ -15,6 +15,16 @@ from gridloom.llm import mixing, ngram_join, packing, quality, secrets
 from gridloom.llm.shared import settle
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _safe(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with neutral names for columns that operators don't know, and what gives the names back."""
+    names = {c: c if c in OWN else f"extra_{k}" for k, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose quality score is under 0.3. Without labels all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("y"))
@@ -25,21 +35,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least doc_id stays; rows without doc_id all stay."""
+    docs, named = _safe(docs)
     classes = ngram_join.join(docs)
     kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     known = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
-    return known.unionByName(docs.filter("doc_id is null"))
+    return named(known.unionByName(docs.filter("doc_id is null")))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret becomes ``[SECRET]``; the documents stay."""
-    return secrets.redact(docs)
+    docs, named = _safe(docs)
+    return named(secrets.redact(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources raised towards equal weights, none repeated more than twice; every document is taken at least once."""
-    return mixing.mix(docs, mixing.Target(repeats=2.0)).select(*docs.columns)
+    docs, named = _safe(docs)
+    return named(mixing.mix(docs, mixing.Target(repeats=2.0)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def block(rank: Column, blocks: Column, target: Target) -> Column:
 
 
 def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
-    """A row for each time a document is taken: all columns of ``docs`` and ``__key``, ``__tokens``, ``__weight``, ``__block``,
+    """A row for each time a document is taken: all columns of ``docs`` (but those that start with two underscores) and ``__key``, ``__tokens``, ``__weight``, ``__block``,
     ``__epoch`` from 0 and ``__place`` (0 to 1): in its order, any run of the mix holds the sources by their weights."""
     weights, blocks = plan(docs, target)
     dealt = keyed(docs).join(weights.select(F.col("key").alias("__key"), F.col("weight").alias("__weight"), F.col("blocks").alias("__blocks"), F.col("epochs").alias("__epochs")), "__key")
@@ -121,4 +121,5 @@ def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
     times = F.when(F.col("__tokens") == 0, 1).otherwise(times)
     taken = dealt.withColumn("__times", times).filter("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
     place = F.least(F.lit(1.0), (F.col("__epoch") + F.col("__start") + F.col("__rank") / F.lit(2.0**63) / F.col("__blocks")) / F.greatest("__epochs", F.lit(1e-9)))
-    return taken.withColumn("__place", place).select(*[docs[c] for c in docs.columns], "__key", "__tokens", "__weight", "__block", "__epoch", "__place")
+    made = ("__key", "__tokens", "__weight", "__block", "__epoch", "__place")
+    return taken.withColumn("__place", place).select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")], *made)
