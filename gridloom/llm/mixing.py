@@ -35,6 +35,8 @@ class Target:
 
 #: Exponents tried at once, and rounds: the interval shrinks by 17 in each.
 TRIED, ROUNDS = 16, 7
+#: A running sum over a source's blocks goes by runs of 2**12 blocks first, so that no task sorts all blocks of a large source.
+RUN_BITS = 12
 
 
 def token_count(text: Column) -> Column:
@@ -42,11 +44,11 @@ def token_count(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(__key, __rank, __tokens) beside all columns: the source, 63 bits in hashed order, the tokens."""
+    """(__key, __rank, __tokens) beside all columns: the source, 63 bits in hashed order, the tokens. Rows without doc_id differ by their text."""
     return docs.withColumns(
         {
             "__key": F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source"))),
-            "__rank": F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("order")), 1),
+            "__rank": F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("order")), 1),
             "__tokens": token_count(F.col("text")),
         }
     )
@@ -74,9 +76,11 @@ def exponent(sources: DataFrame, target: Target) -> float:
     return low if target.entropy is not None else high
 
 
-def plan(docs: DataFrame, target: Target) -> tuple[DataFrame, DataFrame]:
-    """The sources (key, tokens, share, weight, epochs, blocks) and the blocks (key, block, full, cut, place): every document of a
-    block is taken ``full`` times, once more if its rank is at most ``cut``; ``place`` is the block's place in its source."""
+def plan(docs: DataFrame, target: Target) -> DataFrame:
+    """A row for each source: key, tokens, share, weight, epochs, blocks, and what it gives: every document ``full`` times; once more those of
+    blocks up to ``whole``, and of block ``part`` those whose rank is at most ``cut``.
+
+    So the mix needs no table of blocks beside the documents, however many there are."""
     counted = settle(keyed(docs.select("doc_id", "source", "text")).select("__key", "__rank", "__tokens"), "mix-tokens")
     sources = counted.groupBy(F.col("__key").alias("key")).agg(F.sum("__tokens").alias("tokens"))
     total = counted.agg(F.sum("__tokens")).first()[0] or 0
@@ -88,22 +92,33 @@ def plan(docs: DataFrame, target: Target) -> tuple[DataFrame, DataFrame]:
     weights = raised.select("key", "tokens", "share", (F.col("raised") / F.lit(z or 1.0)).alias("weight"))
     weights = weights.withColumn("epochs", F.coalesce(F.try_divide(F.col("weight") * budget, F.col("tokens").cast("double")), F.lit(1.0)))
     weights = weights.withColumn("epochs", F.when(F.abs(F.col("epochs") - F.round("epochs")) < 1e-6, F.round("epochs")).otherwise(F.col("epochs")))
+    weights = weights.withColumn("want", (F.col("epochs") - F.floor("epochs")) * F.col("tokens"))
     weights = settle(weights.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / target.block_tokens)).cast("int")), "mix-weights")
-    dealt = counted.join(weights.select(F.col("key").alias("__key"), "blocks"), "__key").withColumn("block", block(F.col("__rank"), F.col("blocks"), target))
-    sizes = settle(dealt.groupBy("__key", "block").agg(F.sum("__tokens").alias("size")), "mix-blocks")
-    run = Window.partitionBy("__key").orderBy("block")  # blocks are numbered in hashed order, so this is a permutation
-    placed = sizes.join(weights.select(F.col("key").alias("__key"), "tokens", "epochs"), "__key").withColumns(
-        {"end": F.sum("size").over(run), "want": (F.col("epochs") - F.floor("epochs")) * F.col("tokens")}
+    # documents without tokens are taken once whatever the cut
+    dealt = counted.filter("__tokens > 0").join(weights.select(F.col("key").alias("__key"), "blocks", "want"), "__key").withColumn("block", block(F.col("__rank"), F.col("blocks"), target))
+    sizes = settle(dealt.groupBy("__key", "block", "want").agg(F.sum("__tokens").alias("size")), "mix-blocks")
+    runs = _running(sizes.withColumn("run", F.shiftright("block", RUN_BITS)).groupBy("__key", "run", "want").agg(F.sum("size").alias("size")), ["__key"], "run")
+    here = runs.filter("begin <= want and want < end").select("__key", "run", F.col("begin").alias("base"))
+    inside = sizes.withColumn("run", F.shiftright("block", RUN_BITS)).join(here, ["__key", "run"])
+    ends = _running(inside, ["__key", "run", "base"], "block").withColumns({"begin": F.col("begin") + F.col("base"), "end": F.col("end") + F.col("base")})
+    split = (F.col("begin") < F.col("want")) & (F.col("want") < F.col("end"))
+    cuts = ends.groupBy("__key").agg(
+        F.coalesce(F.max(F.when(F.col("end") <= F.col("want"), F.col("block"))), F.shiftleft(F.max("run"), RUN_BITS) - 1).alias("whole"),
+        F.max(F.when(split, F.col("block"))).alias("part"), F.max(F.when(split, F.col("want") - F.col("begin"))).alias("room"),
+    )
+    cuts = settle(cuts, "mix-cuts")
+    last = dealt.join(cuts.select("__key", F.col("part").alias("block"), "room"), ["__key", "block"]).withColumn("sum", F.sum("__tokens").over(Window.partitionBy("__key", "block").orderBy("__rank")))
+    ranks = last.filter("sum <= room").groupBy("__key").agg(F.max("__rank").alias("cut"))
+    found = weights.join(cuts.join(ranks, "__key", "left").withColumnRenamed("__key", "key"), "key", "left")
+    return settle(
+        found.select("key", "tokens", "share", "weight", "epochs", "blocks", F.floor("epochs").cast("int").alias("full"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("whole", "part", "cut")]), "mix-plan"
     )
-    begin = F.col("end") - F.col("size")
-    state = F.when(F.col("end") <= F.col("want"), "whole").when(begin >= F.col("want"), "none").otherwise("part")
-    placed = settle(placed.withColumns({"state": state, "room": F.col("want") - begin, "place": F.try_divide(begin.cast("double"), F.col("tokens").cast("double"))}), "mix-placed")
-    parts = placed.filter("state = 'part'").select("__key", "block", "room")
-    inside = dealt.join(parts, ["__key", "block"]).withColumn("sum", F.sum("__tokens").over(Window.partitionBy("__key", "block").orderBy("__rank")))
-    cuts = inside.filter("sum <= room").groupBy("__key", "block").agg(F.max("__rank").alias("cut"))
-    cut = F.when(F.col("state") == "whole", F.lit(2**63 - 1)).when(F.col("state") == "none", F.lit(-1)).otherwise(F.coalesce("cut", F.lit(-1)))
-    blocks = placed.join(cuts, ["__key", "block"], "left").select("__key", "block", F.floor("epochs").cast("int").alias("full"), cut.alias("cut"), F.coalesce("place", F.lit(0.0)).alias("place"))
-    return weights, settle(blocks, "mix-plan")
+
+
+def _running(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``rows`` with ``begin`` and ``end`` of each one's stretch of ``size``, laid end to end."""
+    end = F.sum("size").over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("end", end).withColumn("begin", F.col("end") - F.col("size"))
 
 
 def block(rank: Column, blocks: Column, target: Target) -> Column:
@@ -112,14 +127,15 @@ def block(rank: Column, blocks: Column, target: Target) -> Column:
 
 def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
     """A row for each time a document is taken: all columns of ``docs`` (but those that start with two underscores) and ``__key``, ``__tokens``, ``__weight``, ``__block``,
-    ``__epoch`` from 0 and ``__place`` (0 to 1): in its order, any run of the mix holds the sources by their weights."""
-    weights, blocks = plan(docs, target)
-    dealt = keyed(docs).join(weights.select(F.col("key").alias("__key"), F.col("weight").alias("__weight"), F.col("blocks").alias("__blocks"), F.col("epochs").alias("__epochs")), "__key")
-    dealt = dealt.withColumn("__block", block(F.col("__rank"), F.col("__blocks"), target))
-    dealt = dealt.join(blocks.select("__key", F.col("block").alias("__block"), F.col("full").alias("__full"), F.col("cut").alias("__cut"), F.col("place").alias("__start")), ["__key", "__block"])
-    times = F.col("__full") + (F.col("__rank") <= F.col("__cut")).cast("int")
-    times = F.when(F.col("__tokens") == 0, 1).otherwise(times)
+    ``__epoch`` from 0 and ``__place`` (0 to 1): in its order, any run of the mix holds the sources by their weights.
+
+    The texts meet only the table of sources."""
+    given = plan(docs, target).select(F.col("key").alias("__key"), *[F.col(c).alias(f"__{c}") for c in ("weight", "blocks", "epochs", "full", "whole", "part", "cut")])
+    dealt = keyed(docs).join(given, "__key").withColumn("__block", block(F.col("__rank"), F.col("__blocks"), target))
+    again = (F.col("__block") <= F.col("__whole")) | ((F.col("__block") == F.col("__part")) & (F.col("__rank") <= F.col("__cut")))
+    times = F.when(F.col("__tokens") == 0, 1).otherwise(F.col("__full") + again.cast("int"))
     taken = dealt.withColumn("__times", times).filter("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
-    place = F.least(F.lit(1.0), (F.col("__epoch") + F.col("__start") + F.col("__rank") / F.lit(2.0**63) / F.col("__blocks")) / F.greatest("__epochs", F.lit(1e-9)))
+    # blocks are drawn by hash, so each holds about as many tokens
+    place = F.least(F.lit(1.0), (F.col("__epoch") + (F.col("__block") + F.col("__rank") / F.lit(2.0**63)) / F.col("__blocks")) / F.greatest("__epochs", F.lit(1e-9)))
     made = ("__key", "__tokens", "__weight", "__block", "__epoch", "__place")
     return taken.withColumn("__place", place).select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")], *made)

@@ -138,3 +138,23 @@ def test_mix_of_odd_tables(spark):
     assert taken(spark, [], mixing.Target()) == []
     out = taken(spark, [(1, "a", None, 0), (2, "a", "", 0), (3, None, "x y", 0), (3, None, "x y", 0), (None, "b", "z", 0)], mixing.Target())
     assert sorted((r.doc_id or 0) for r in out)[-4:].count(3) >= 2 and {r.doc_id for r in out} == {1, 2, 3, None}
+
+
+def test_cuts_equal_a_plain_running_sum(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_BITS", 2)  # many runs in a small table
+    target = mixing.Target(repeats=1.7, block_tokens=32)
+    rows = corpus() + [(9000 + i, "small", "", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, tokens int")
+    given = {r.key: r for r in mixing.plan(df, target).collect()}
+    held = defaultdict(list)
+    for r in mixing.keyed(df).join(spark.createDataFrame([(k, g.blocks) for k, g in given.items()], "__key string, blocks int"), "__key").withColumn("block", mixing.block(F.col("__rank"), F.col("blocks"), target)).collect():
+        held[r["__key"]].append((r.block, r["__rank"], r["__tokens"], r.doc_id))
+    got, want = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(df, target).collect():
+        got[r.doc_id] += 1
+    for key, docs in held.items():
+        more, used = (given[key].epochs % 1) * given[key].tokens, 0
+        for _, _, n, doc in sorted(docs):
+            used += n
+            want[doc] = 1 if n == 0 else int(given[key].epochs) + (used <= more)
+    assert any(g.blocks > 8 for g in given.values()) and got == want
