@@ -34,12 +34,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least doc_id stays; rows without doc_id all stay."""
+    """Of each class of near copies one document with the least doc_id stays; rows without doc_id all stay."""
     docs, named = _safe(docs)
-    classes = ngram_join.join(docs)
-    kept = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    known = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi").withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
+    kept = ngram_join.firsts(docs).select(F.col("doc_id").alias("__kept"), F.col("digest").alias("__of"))
+    rows = docs.filter("doc_id is not null").withColumn("__text", ngram_join.digest_of(F.col("text")))
+    rows = rows.join(kept, (rows["doc_id"] == kept["__kept"]) & (rows["__text"] == kept["__of"]), "left_semi")
+    # where a row is repeated, its first stays
+    first = Window.partitionBy("doc_id", "__text").orderBy(F.col("text").asc_nulls_last(), "source", "lang")
+    known = rows.withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place", "__text")
     return named(known.unionByName(docs.filter("doc_id is null")))
 
 

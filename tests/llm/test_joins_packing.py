@@ -258,3 +258,14 @@ def test_pipeline_keeps_odd_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{folder}/empty/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/empty/labels.parquet")
     assert corpus_pipeline.run(spark, f"{folder}/empty").count() == 0
+
+
+def test_near_copies_of_one_id(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"word{k}" for k in range(200))
+    rows = [(5, long, "en", "a", 0), (5, long + " more", "en", "a", 0), (5, "a clean text of its own", "en", "a", 0), (5, "a clean text of its own", "en", "a", 0), (6, long, "en", "a", 0), (None, long, "en", "a", 0), (7, None, "en", "a", 0)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 5, 5, 7]
+    mine = [r.text for r in kept if r.doc_id == 5]
+    assert "a clean text of its own" in mine and sum(t.startswith(long) for t in mine) == 1
