@@ -49,6 +49,17 @@ def test_nearest_with_small_leaves_needs_the_graph(spark):
     assert sum((q, j) in found for q, near in want.items() for _, j in near) / (5 * len(want)) > 0.9
 
 
+def test_nearest_under_the_registered_settings_needs_the_graph(spark):
+    table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").filter("vec_id < 5000")
+    want = {(q, j) for q, near in nearest_by_force([(r.vec_id, r.embedding) for r in table.collect()]).items() for _, j in near}
+    assert table.count() > 15 * ann.Settings().leaf
+    nodes, _ = ann.nodes_of(ann.usable(table), 6)
+    leaves = {(r.u, r.v) for r in ann.first_edges(nodes, nodes.count(), ann.Settings()).filter("u % 50 = 0").collect()}
+    assert len(want & leaves) / len(want) < 0.6
+    found = {(r.query_id, r.vec_id) for r in ann.digest(table).collect()}
+    assert len(want & found) / len(want) > 0.9
+
+
 def test_nearest_of_odd_vectors(spark):
     kind = "vec_id long, embedding array<float>, label int, node long, score double"
     same = [1.0, 2.0, 3.0]
