@@ -149,6 +149,29 @@ def test_ngram_join_of_a_large_family(spark):
     assert got == linked_by_force(docs)
 
 
+def test_ngram_join_of_short_copies_quoted_by_many(spark):
+    rng = np.random.default_rng(3)
+    docs = {}
+    for g in range(12):
+        base = [f"b{g}_{k}" for k in range(60)]
+        for k in range(150):
+            docs[g * 1000 + k] = " ".join(base + [f"q{g}_{k}_{i}" for i in rng.permutation(56)])
+        docs[g * 1000 + 900] = " ".join(base)
+        docs[g * 1000 + 901] = " ".join(base[:-1] + [f"end{g}"] + [f"tail{g}_{i}" for i in range(5)])
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in docs.items()], DOCS)
+    want = linked_by_force(docs)
+    assert all(want[g * 1000 + 901][0] == g * 1000 + 900 for g in range(12))
+    got = {r.doc_id: (r.class_id, r.text_id, r.n_links, r.n_copies) for r in ngram_join.join(df).collect()}
+    assert got == want
+
+
+def test_texts_of_a_node_meet_past_its_unlike_first(spark):
+    like, unlike = b"\1" * 128, b"\2" * 128
+    rows = [(g * 10 + k, sig, [g << 12 | low]) for g in range(1, 41) for k, (sig, low) in enumerate([(unlike, 0), (like, 0x500), (like, 0x900)])]
+    got = {r.node: r.root for r in ngram_join.families(spark.createDataFrame(rows, "nid long, sig binary, labels array<long>"), ngram_join.Settings()).collect()}
+    assert got == {g * 10 + k: g * 10 + 1 for g in range(1, 41) for k in (1, 2)}
+
+
 def test_ngram_join_of_odd_rows(spark):
     df = spark.createDataFrame([], DOCS)
     assert ngram_join.join(df).count() == 0
