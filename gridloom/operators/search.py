@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.types import friendly, parse_float
+from gridloom.scratch import settle
 
 ONE_VALUE = {"equals", "not_equals", "gt", "ge", "lt", "le"}
 KINDS = {"is_null", "is_not_null", "between", "outside"} | ONE_VALUE
@@ -115,15 +116,19 @@ def find_cells(indexed: DataFrame, column: str, kind: str, value: str | None = N
 
 
 def with_neighbours(hits: DataFrame) -> DataFrame:
-    """Each match with the row of the next and the previous one, around the ends. The matches are ordered as one list."""
-    order = Window.orderBy("row", "col")
-    every = Window.partitionBy()
-    return hits.withColumns(
-        {
-            "next_row": F.coalesce(F.lead("row").over(order), F.min("row").over(every)),
-            "previous_row": F.coalesce(F.lag("row").over(order), F.max("row").over(every)),
-        }
+    """Each match with the row of the next and the previous one, around the ends. Ranges of matches are ordered in their own tasks; one row a
+    range links them."""
+    placed = settle(hits.repartitionByRange("row", "col").withColumn("_range", F.spark_partition_id()), "search-hits")
+    edges = placed.groupBy("_range").agg(F.min("row").alias("_first"), F.max("row").alias("_last"))
+    order, every = Window.orderBy("_range"), Window.partitionBy()  # as many rows as ranges
+    edges = edges.select(
+        "_range",
+        F.coalesce(F.lead("_first").over(order), F.min("_first").over(every)).alias("_after"),
+        F.coalesce(F.lag("_last").over(order), F.max("_last").over(every)).alias("_before"),
     )
+    inside = Window.partitionBy("_range").orderBy("row", "col")
+    linked = placed.withColumns({"next_row": F.lead("row").over(inside), "previous_row": F.lag("row").over(inside)}).join(F.broadcast(edges), "_range")
+    return linked.select(*hits.columns, F.coalesce("next_row", "_after").alias("next_row"), F.coalesce("previous_row", "_before").alias("previous_row"))
 
 
 def nearest(hits: DataFrame, row: int, col: int) -> DataFrame:

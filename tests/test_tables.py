@@ -233,3 +233,20 @@ def test_long_cells_and_preview(spark):
     assert any("a very lo..." in r.line for r in texttable.preview(rows).collect())
     wide = texttable.to_frame(texttable.long_cells(rows, meta.withColumn("has_headers", F.lit(True))), 2, ["k", "v"])
     assert wide.first().v == "a very long value indeed"
+
+
+def test_neighbours_of_many_matches_are_found_in_many_tasks(spark):
+    from gridloom.operators import search
+
+    rows = [k for k in range(1, 9001) if k % 3]
+    hits = spark.createDataFrame([(k, 2) for k in reversed(rows)], "row long, col int")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        got = search.with_neighbours(hits).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {r.row: (r.next_row, r.previous_row) for r in got} == {k: (rows[(n + 1) % len(rows)], rows[n - 1]) for n, k in enumerate(rows)}
+    assert len(got) == len(rows) and len({r.task for r in got}) > 1
+    assert search.with_neighbours(hits.limit(0)).count() == 0
