@@ -67,6 +67,15 @@ def join_nulls(spark, sf_dir):
     return frame.join(keys.filter("event_id % 10 = 0"), keys.select("k").distinct(), ["k"], join_nulls=True).agg(F.count("*").alias("n"))
 
 
+@BOOK.add(
+    """SELECT count(*) AS n FROM (SELECT nullif(event_type, 'error') AS k FROM events) a
+    JOIN (SELECT DISTINCT nullif(event_type, 'error') AS k FROM events) b ON a.k IS NOT DISTINCT FROM b.k"""
+)
+def join_nulls_whole(spark, sf_dir):
+    keys = table(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("error")).alias("k"))
+    return frame.join(keys, keys.select("k").distinct(), ["k"], join_nulls=True).agg(F.count("*").alias("n"))
+
+
 @BOOK.add(
     """SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS BIGINT) AS "F", CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS BIGINT) AS "O", CAST(sum(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS BIGINT) AS "P" FROM orders GROUP BY 1"""
 )
@@ -149,6 +158,16 @@ def as_of_join(spark, sf_dir):
     return frame.as_of(orders, events, "user_id", "t", "event_id").select("o_orderkey", "event_id")
 
 
+@BOOK.add(
+    """SELECT o.o_orderkey, e.event_id FROM (SELECT o_orderkey, o_custkey AS user_id, o_orderkey * 3 AS t FROM orders) o
+    ASOF LEFT JOIN (SELECT user_id, event_id, event_id AS t FROM events) e ON e.user_id = o.user_id AND e.t <= o.t"""
+)
+def as_of_join_whole(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") * 3).alias("t"))
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("t"))
+    return frame.as_of(orders, events, "user_id", "t", "event_id").select("o_orderkey", "event_id")
+
+
 @BOOK.add("SELECT o_orderkey, p_partkey FROM orders JOIN (SELECT p_partkey, p_partkey * 50 AS lo, p_partkey * 50 + p_size AS hi FROM part) p ON o_orderkey BETWEEN lo AND hi")
 def range_join(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 50).alias("lo"), (F.col("p_partkey") * 50 + F.col("p_size")).alias("hi"))

@@ -108,6 +108,12 @@ def age_parts(spark, sf_dir):
     return early.select("o_orderkey", months.alias("months"), days.alias("days"))
 
 
+@BOOK.add("SELECT o_orderkey, date_part('year', a) * 12 + date_part('month', a) AS months, date_part('day', a) AS days FROM (SELECT o_orderkey, age(TIMESTAMP '1999-01-01', CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)) AS a FROM orders)")
+def age_parts_whole(spark, sf_dir):
+    months, days = sqlcompat.age(F.lit("1999-01-01").cast("timestamp"), F.col("o_orderdate").cast("date").cast("timestamp"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", months.alias("months"), days.alias("days"))
+
+
 @BOOK.add(
     """SELECT l_orderkey, l_linenumber, l_quantity, round(l_extendedprice * (1 - l_discount), 6) AS net, CAST(ceil(l_tax * 100 - 0.5) AS BIGINT) AS up, CAST(floor(l_extendedprice) AS BIGINT) AS down, abs(l_discount - 0.05) AS off,
     power(l_quantity, 2) AS squared, sqrt(l_quantity) AS root, l_orderkey % 7 AS rest FROM lineitem"""
