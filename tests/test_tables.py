@@ -250,3 +250,15 @@ def test_neighbours_of_many_matches_are_found_in_many_tasks(spark):
     assert {r.row: (r.next_row, r.previous_row) for r in got} == {k: (rows[(n + 1) % len(rows)], rows[n - 1]) for n, k in enumerate(rows)}
     assert len(got) == len(rows) and len({r.task for r in got}) > 1
     assert search.with_neighbours(hits.limit(0)).count() == 0
+
+
+def test_split_rows_are_read_from_texts_of_bounded_size(spark, monkeypatch):
+    from gridloom.plans import text_queries
+
+    texts, parse = [], texttable.parse_tables
+    monkeypatch.setattr(text_queries.texttable, "parse_tables", lambda df: texts.append(df) or parse(df))
+    got = text_queries.split_rows_round_trip(spark, "/root/testdata/sf0.1").collect()
+    want = spark.read.parquet("/root/testdata/sf0.1/supplier.parquet").collect()
+    assert sorted((r.rank, r.name, r.nation) for r in got) == sorted((str(r.s_suppkey), r.s_name, str(r.s_nationkey)) for r in want)
+    lines = [r.text.count("\n") for r in texts[0].collect()]
+    assert len(lines) == -(-len(want) // 100) and max(lines) <= 200
