@@ -10,7 +10,8 @@ source; if a turn differs, or a text holds a control string, it is rendered anew
 in its texts, and if that differs too (odd roles), with its roles percent-encoded behind ``%``. The last form always comes back.
 
 Null texts and roles are empty. Turns are ordered by (turn, role, text), a null turn first; repeated rows are turns of their own. Null
-conv_id is a conversation. An empty table gives no conversations.
+conv_id is a conversation. An empty table gives no conversations. Other columns are not looked at. All steps are linear in the text, long
+runs of backslashes and conversations of many turns included.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ HEAD = r"^(?s)### ([^\n:]*):\n(.*)$"
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(\\*)" + CONTROL, r"\\$1$2")
+    # a match starts at the head of a run of backslashes only and never gives one back: linear in the text
+    return F.regexp_replace(text, r"(?<!\\)(\\*+)" + CONTROL, r"\\$1$2")
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\(\\*)" + CONTROL, "$1$2")
+    return F.regexp_replace(text, r"(?<!\\)\\(\\*+)" + CONTROL, "$1$2")
 
 
 def _role(role: Column, encoded: bool) -> Column:
@@ -84,23 +86,22 @@ def format_chat(rows: DataFrame) -> DataFrame:
     return tried.select("conv_id", "turns", form.alias("formatted"), attempt.alias("attempt"))
 
 
-def loss_spans(formatted: Column, role: str = "assistant") -> Column:
-    """Spans (start, length; code points, from 0) of the texts under the loss mask, as they stand in the formatted text."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+def loss_mask(formatted: Column, role: str = "assistant") -> Column:
+    """An entry for each turn: (start, length) of its text if that is under the loss mask, else null; in code points from the turn's first one.
 
-    def step(acc: Column, segment: Column) -> Column:
+    Counted from its turn, a span is found and read without a walk over the whole conversation, however many turns that has."""
+
+    def span(segment: Column) -> Column:
         head, raw = F.regexp_extract(segment, HEAD, 1), F.regexp_extract(segment, HEAD, 2)
-        begin = acc["at"] + F.length(head) + 6
-        span = F.struct(begin.alias("start"), F.length(raw).cast("long").alias("length"))
         is_loss = F.when(head.startswith("%"), F.try_url_decode(F.substr(head, F.lit(2)))).otherwise(head) == role
-        return F.struct((acc["at"] + F.length(segment) + len(CLOSE)).cast("long").alias("at"), F.when(is_loss, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.when(is_loss, F.struct((F.length(head) + 6).alias("start"), F.length(raw).alias("length")))
 
-    return F.aggregate(_segments(formatted), start, step, lambda acc: acc["spans"])
+    return F.transform(_segments(formatted), span)
 
 
-def under_mask(formatted: Column, spans: Column) -> Column:
-    """All text under the mask, unescaped span by span."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """All text under the mask, unescaped turn by turn."""
+    return F.array_join(F.zip_with(_segments(formatted), mask, lambda s, m: unescape(F.substr(s, m["start"] + 1, m["length"]))), "")
 
 
 def digest(rows: DataFrame) -> DataFrame:
@@ -108,11 +109,11 @@ def digest(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     made = format_chat(rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra))
-    made = made.select("conv_id", "formatted", "attempt", loss_spans(F.col("formatted")).alias("loss_spans"))
-    back = made.select("*", parse(F.col("formatted")).alias("got"), under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    made = made.select("conv_id", "formatted", "attempt", loss_mask(F.col("formatted")).alias("mask"))
+    back = made.select("*", parse(F.col("formatted")).alias("got"), under_mask(F.col("formatted"), F.col("mask")).alias("loss"))
     said = F.array_join(F.transform("got", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
     return back.select(
         "conv_id", F.size("got").cast("long").alias("n_turns"), sha(said).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha(F.col("loss")).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"), F.col("attempt").cast("int").alias("attempt"), F.size("loss_spans").cast("long").alias("loss_spans"),
+        F.length("formatted").cast("long").alias("formatted_chars"), F.col("attempt").cast("int").alias("attempt"), F.size(F.filter("mask", lambda m: m.isNotNull())).cast("long").alias("loss_spans"),
     )

@@ -87,6 +87,11 @@ def test_components(spark):
     assert links.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path(spark):
+    path = spark.range(1, 20_000).select((F.col("id") * 7919 % 20_000).alias("a"), ((F.col("id") + 1) * 7919 % 20_000).alias("b"))
+    assert {r.root for r in links.components(path).select("root").distinct().collect()} == {0}
+
+
 def shingles(text):
     w = text.split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -38,7 +39,7 @@ def test_chat_round_trip_of_hostile_texts(spark):
     rows = [(c, t, "".join(rng.choices(["user", "assistant", ":", "\n", "%41", "\\", ""], k=2)) if c % 3 == 0 else rng.choice(["user", "assistant"]), "".join(rng.choices(bits, k=rng.randrange(9))), "clash") for c in range(150) for t in range(rng.randrange(1, 5))]
     rows += [(None, None, None, None, None), (500, 0, "user", None, ""), (500, 0, "user", None, ""), (501, 0, "assistant", "y " * 60000 + "</turn>", "")]
     df = spark.createDataFrame(rows, TURNS)
-    made = chat.format_chat(df).select("turns", "attempt", chat.parse(F.col("formatted")).alias("got"), chat.under_mask(F.col("formatted"), chat.loss_spans(F.col("formatted"))).alias("loss")).collect()
+    made = chat.format_chat(df).select("turns", "attempt", chat.parse(F.col("formatted")).alias("got"), chat.under_mask(F.col("formatted"), chat.loss_mask(F.col("formatted"))).alias("loss")).collect()
     assert len(made) == len({r[0] for r in rows})
     for r in made:
         assert [(t.role, t.text) for t in r.got] == [(t.role, t.text) for t in r.turns]
@@ -51,6 +52,16 @@ def test_chat_of_no_rows(spark):
     assert [r.conv_id for r in chat.digest(spark.createDataFrame([], TURNS)).collect()] == [-7]
 
 
+def test_chat_of_long_runs_and_many_turns_is_linear(spark):
+    slashes = "\\" * 1_000_000
+    rows = [(1, 0, "user", slashes, ""), (1, 1, "assistant", slashes + "### " + slashes, "")] + [(2, k, ("user", "assistant")[k % 2], f"turn {k} </turn> " + "x" * 80, "") for k in range(20_000)]
+    began = time.perf_counter()
+    got = {r.conv_id: r for r in chat.digest(spark.createDataFrame(rows, TURNS)).collect()}
+    assert time.perf_counter() - began < 60
+    loss = {1: rows[1][3], 2: "".join(r[3] for r in rows if r[0] == 2 and r[2] == "assistant")}
+    assert all(got[c].loss_sha256 == sha(t) and got[c].loss_chars == len(t) for c, t in loss.items()) and got[2].n_turns == 20_000
+
+
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
