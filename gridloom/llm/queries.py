@@ -21,7 +21,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.selectExpr("doc_id", "source", "__epoch as epoch", "__block as block", "__tokens as tokens", "__weight as weight", "__place as place")
+    return mixed.selectExpr("doc_id", "source", "__epoch as epoch", "__block as block", "__position as position", "__tokens as tokens", "__weight as weight", "__place as place")
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

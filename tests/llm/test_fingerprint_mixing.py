@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.llm import fingerprint, mixing
@@ -147,8 +148,10 @@ def test_cuts_equal_a_plain_running_sum(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, tokens int")
     given = {r.key: r for r in mixing.plan(df, target).collect()}
     held = defaultdict(list)
-    for r in mixing.keyed(df).join(spark.createDataFrame([(k, g.blocks) for k, g in given.items()], "__key string, blocks int"), "__key").withColumn("block", mixing.block(F.col("__rank"), F.col("blocks"), target)).collect():
-        held[r["__key"]].append((r.block, r["__rank"], r["__tokens"], r.doc_id))
+    plans = spark.createDataFrame([(k, g.blocks, g.full) for k, g in given.items()], "__key string, blocks int, full int")
+    where = mixing.position(mixing.block(F.col("__rank"), F.col("blocks"), target), F.col("blocks"), F.col("__key"), F.col("full"), target)
+    for r in mixing.keyed(df).join(plans, "__key").withColumn("at", where).withColumn("turn", mixing.turn(F.col("__rank"), F.col("full"), target)).collect():
+        held[r["__key"]].append((r.at, r.turn, r["__tokens"], r.doc_id))
     got, want = defaultdict(int), defaultdict(int)
     for r in mixing.mix(df, target).collect():
         got[r.doc_id] += 1
@@ -158,3 +161,24 @@ def test_cuts_equal_a_plain_running_sum(spark, monkeypatch):
             used += n
             want[doc] = 1 if n == 0 else int(given[key].epochs) + (used <= more)
     assert any(g.blocks > 8 for g in given.values()) and got == want
+
+
+def test_each_epoch_has_a_permutation_of_its_own(spark):
+    for n in (1, 2, 7, 64, 1000):
+        rows = spark.range(n).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("e"))
+        at = mixing.position(F.col("b"), F.lit(n), F.lit("=s"), F.col("e"), mixing.Target())
+        got = defaultdict(dict)
+        for r in rows.select("b", "e", at.alias("at")).collect():
+            got[r.e][r.b] = r.at
+        assert all(sorted(m.values()) == list(range(n)) for m in got.values())
+        if n >= 64:
+            orders = [[m[b] for b in range(n)] for m in got.values()]
+            assert all(abs(np.corrcoef(x, y)[0, 1]) < 0.35 for x, y in ((orders[0], orders[1]), (orders[1], orders[2]), (orders[0], list(range(n)))))
+
+
+def test_epochs_repeat_documents_in_other_orders(spark):
+    rows = corpus()
+    out = taken(spark, rows, mixing.Target(repeats=2.0, block_tokens=64))
+    again = sorted({r.doc_id for r in out if r["__epoch"] == 1 and r.source == "small"})
+    order = {e: sorted((d for d in again), key=lambda d, e=e: next(r["__place"] for r in out if r.doc_id == d and r["__epoch"] == e)) for e in (0, 1)}
+    assert len(again) > 8 and order[0] != order[1]
