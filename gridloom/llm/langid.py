@@ -5,7 +5,9 @@ is the average over all its subwords, counted in the whole text. Embeddings and
 numpy on a bounded sample of labelled texts, then a temperature is fitted on texts kept apart, and the least score is chosen at which the
 wanted share of those is right; texts below it are marked as rejected.
 
-A null text, or one without letters, is ``und`` with score 0. With no labelled text every prediction is ``und``.
+A null text, or one without letters, is ``und`` with score 0. With no labelled text, as in an empty table, every prediction is ``und``.
+Equal scores go to the language that sorts first; repeated rows are predicted each and drawn once; texts are read whole, long ones piece by
+piece; columns but doc_id, text and lang, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.points import classes, points
@@ -27,7 +29,8 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 @dataclass
 class Settings:
-    #: The classifier is fitted on about this many labelled texts, drawn by a hash of doc_id; all are predicted.
+    #: The classifier is fitted on at most this many labelled texts, as many of each language as there are, drawn by a hash of doc_id and
+    #: text; all are predicted.
     sample: int = 2400
     dim: int = 8
     epochs: int = 6
@@ -46,10 +49,32 @@ class Model:
     least: float
 
 
+#: Characters of a text that are held at once; a piece also sees the next ones that its last subwords reach.
+PIECE, REACH = 1 << 18, 3
+
+
+def pieces(texts: list[str]) -> tuple[list[tuple[list[str], list[int]]], int]:
+    """Texts in lower case as groups of pieces of about PIECE characters, with the number of each piece's text; and how many texts there are."""
+    groups, now, who, held = [], [], [], 0
+    for k, text in enumerate(t.lower() for t in texts):
+        for at in range(0, max(len(text), 1), PIECE):
+            if held > PIECE:
+                groups.append((now, who))
+                now, who, held = [], [], 0
+            now.append(text[at : at + PIECE + REACH])
+            who.append(k)
+            held += len(now[-1])
+    return [*groups, (now, who)], len(texts)
+
+
 def subwords(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-    """For each length (buckets, is it a subword) at every position, starts of the texts, letters of each text."""
-    codes, starts = points([t.lower() for t in texts])
+    """For each length (buckets, is it a subword) at every position, starts of the pieces, letters of each piece. Subwords that begin in what a
+    piece only sees are none of its own."""
+    codes, starts = points(texts)
     letter = classes()["letter"][codes]
+    mine = np.ones(len(codes), bool)
+    for a, text in zip(starts, texts):
+        mine[a + min(len(text), PIECE) : a + len(text) + 1] = False  # the line break behind a text begins no subword with the next one
     x = np.where(letter, codes, 32).astype(np.uint32)
     n = len(x)
     out = []
@@ -64,9 +89,10 @@ def subwords(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.
         if size == 2:
             good[:-1] = letter[:-1] | letter[1:]
         good[n - size + 1 :] &= size == 1
+        good &= mine
         h = (h * np.uint32(0x9E3779B1 + 2 * size)) >> np.uint32(17)
         out.append((h, good))
-    return out, starts, np.add.reduceat(letter.astype(np.int64), starts)
+    return out, starts, np.add.reduceat((letter & mine).astype(np.int64), starts)
 
 
 def count_subwords(docs: DataFrame) -> DataFrame:
@@ -74,14 +100,16 @@ def count_subwords(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            found, starts, _ = subwords(batch.column("text").to_pylist())
-            ends = np.append(starts[1:], len(found[0][0]))
-            ids, counts = [], []
-            for a, b in zip(starts, ends):
-                bins = np.bincount(np.concatenate([h[a:b][good[a:b]] for h, good in found]), minlength=BUCKETS)
-                some = np.flatnonzero(bins)
-                ids.append(some.astype("<u2").tobytes())
-                counts.append(bins[some].astype("<u4").tobytes())
+            groups, n = pieces(batch.column("text").to_pylist())
+            ids, counts = [np.zeros(0, "<u2")] * n, [np.zeros(0, "<u4")] * n
+            for texts, who in groups:
+                found, starts, _ = subwords(texts)
+                for k, a, b in zip(who, starts, np.append(starts[1:], len(found[0][0]))):
+                    bins = np.bincount(np.concatenate([h[a:b][good[a:b]] for h, good in found]), minlength=BUCKETS)
+                    bins[ids[k]] += counts[k]
+                    ids[k] = np.flatnonzero(bins).astype("<u2")
+                    counts[k] = bins[ids[k]].astype("<u4")
+            ids, counts = [x.tobytes() for x in ids], [x.tobytes() for x in counts]
             yield pa.RecordBatch.from_arrays([batch.column("lang").cast(pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["lang", "ids", "counts"])
 
     return docs.mapInArrow(run, "lang string, ids binary, counts binary")
@@ -136,14 +164,25 @@ def train(rows: list, settings: Settings) -> Model | None:
     return Model(langs, table.astype(np.float32), bias, temperature, least)
 
 
+def drawn(docs: DataFrame, learn: Column, settings: Settings) -> DataFrame:
+    """(lang, text) of at most ``settings.sample`` rows of (doc_id, text, lang), an equal part for each language.
+
+    Rows are drawn by a hash of doc_id and text, so rows without doc_id differ, and equal rows are drawn once. Only rows near the top of
+    their language's hashes meet the exact rank."""
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(settings.seed)), 1)
+    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("place", place)
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("size"))
+    langs = sizes.count()
+    each = max(1, settings.sample // max(langs, 1))
+    near = F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(4.0 * each + 100) / F.col("size"))
+    some = rows.join(sizes, "lang").filter(F.col("place") <= near).dropDuplicates(["lang", "place"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    return some.withColumn("rank", rank).filter(F.col("rank") <= each).orderBy("place").limit(settings.sample).select("lang", "text")
+
+
 def fit(docs: DataFrame, learn: Column, settings: Settings = Settings()) -> Model | None:
     """Train on rows of (doc_id, text, lang) where ``learn`` holds, lang isn't null and the text neither."""
-    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.select("doc_id").count()
-    share = min(1.0, settings.sample / max(n, 1))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(settings.seed)), 1) / F.lit(2.0**63)
-    drawn = rows.filter(place <= share).select("lang", "text")
-    return train(count_subwords(drawn).collect(), settings)  # about settings.sample rows of a few kB
+    return train(count_subwords(drawn(docs, learn, settings)).collect(), settings)  # at most settings.sample rows of a few kB
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -155,13 +194,15 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             score, best = np.zeros(n), np.zeros(n, int)
             letters = np.zeros(n, np.int64)
             if model is not None:
-                found, starts, letters = subwords(batch.column("text").to_pylist())
                 logits, total = np.zeros((n, len(model.langs))), np.zeros(n)
-                for h, good in found:
-                    rows = model.table[h]
-                    rows[~good] = 0
-                    logits += np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
-                    total += np.add.reduceat(good.astype(np.int64), starts)
+                for texts, who in pieces(batch.column("text").to_pylist())[0]:
+                    found, starts, some = subwords(texts)
+                    np.add.at(letters, who, some)
+                    for h, good in found:
+                        rows = model.table[h]
+                        rows[~good] = 0
+                        np.add.at(logits, who, np.add.reduceat(rows, starts, axis=0, dtype=np.float64))
+                        np.add.at(total, who, np.add.reduceat(good.astype(np.int64), starts))
                 p = softmax((logits / np.maximum(total, 1)[:, None] + model.bias) / model.temperature)
                 best, score = p.argmax(axis=1), np.where(letters > 0, p.max(axis=1), 0.0)
             names = [model.langs[b] if has else "und" for b, has in zip(best, letters > 0)]
