@@ -5,7 +5,8 @@ partition of the training rows sums its normal equations; the sums are added and
 training fit the isotonic curve that turns a raw score into the probability of label 1.
 
 Null texts count as empty and are scored too. Labels of a doc_id that comes twice are averaged; null labels are left out. Without labels
-every score is 0.5. Repeated rows are scored each.
+every score is 0.5, and an empty table has none. Repeated rows are scored each; of those with one doc_id one is learnt from. Columns but
+doc_id and text, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -159,13 +160,18 @@ def _summed(rows: DataFrame, partial) -> np.ndarray | None:
     return sum(found) if found else None
 
 
-def fit(stats: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Model | None:
-    """Learn from ``labels`` (doc_id, y) where ``learn`` (of doc_id) holds."""
-    y = labels.filter(learn & F.col("y").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("y").cast("double")).alias("y"))
-    rows = stats.join(y, "doc_id")
+def drawn(labels: DataFrame, learn: Column, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, y): labels where ``learn`` (of doc_id) holds, averaged by doc_id, about ``settings.sample`` of them and never twice as many."""
+    y = labels.filter(learn & F.col("y").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(F.col("y").cast("double")).alias("y"))
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(settings.seed)), 1) / F.lit(2.0**63)
     share = min(1.0, settings.sample / max(y.count(), 1))
-    drawn = settle(rows.filter(place <= share).select("x", "y", (F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(4)) == 0).alias("apart")).repartition(settings.parts), "quality-train")
+    return settle(y.filter(place <= share).limit(2 * settings.sample), "quality-labels")
+
+
+def fit(stats: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
+    """Learn from the rows of (doc_id, x) that have one of the drawn ``labels`` (doc_id, y)."""
+    rows = stats.join(F.broadcast(labels), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    drawn = settle(rows.select("x", "y", (F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(4)) == 0).alias("apart")).repartition(settings.parts), "quality-train")
     training = drawn.filter("not apart")
     d = len(STATISTICS)
     first = _summed(training, lambda x, y: np.concatenate([[len(x)], x.sum(axis=0), (x**2).sum(axis=0)]))
@@ -193,6 +199,11 @@ def fit(stats: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
     return model
 
 
+def fit_texts(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
+    """As ``fit``, from (doc_id, text): statistics of the drawn rows alone. The labels are few enough to send to every task."""
+    return fit(with_statistics(docs.join(F.broadcast(labels.select("doc_id")), "doc_id", "left_semi")), labels, settings)
+
+
 def scored(stats: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score) for (doc_id, x)."""
 
@@ -224,5 +235,5 @@ def held_out() -> Column:
 
 def digest(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     stats = settle(with_statistics(docs), "quality-stats")
-    model = fit(stats, labels.select("doc_id", F.col("quality").alias("y")), ~held_out(), settings)
+    model = fit(stats, drawn(labels.select("doc_id", F.col("quality").alias("y")), ~held_out(), settings), settings)
     return scored(stats, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
