@@ -5,11 +5,13 @@ a Hilbert key. Documents are range-sorted by (key, doc_id) and their ids written
 cut wherever a sequence is full; so neighbours on the curve share sequences. The rest at a partition's end is cut into sequences whose
 lengths are powers of two, which need no padding.
 
-Null texts are empty: one end token. Repeated rows are packed each. An empty table gives no pieces.
+Null texts are empty: one end token. Repeated rows are packed each, rows without doc_id too. Long texts are packed whole. Columns but doc_id
+and text, whatever their names, are not looked at. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,48 +35,48 @@ class Settings:
     vocabulary: str | None = None
     length: int = 2048
     end: int = 1
+    #: Bytes of ids that a task sorts and packs; the number of ranges follows from them.
+    range_bytes: int = 64 << 20
 
 
 class Encoder:
-    """Ids as little-endian uint16 bytes.
+    """Ids of texts by ``tokenizers`` as little-endian uint16 bytes.
 
     In this vocabulary's rule for cutting texts, a cut always stands before a space that a non-space follows, so a text can be encoded
-    word by word and words be remembered. Texts with other runs of spaces, or with the special token's string, are encoded whole.
-    """
+    word by word, and words that were encoded before are remembered. Texts with other runs of spaces, or with the special token's
+    string, are encoded whole."""
 
     def __init__(self, path: str):
-        import base64
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
 
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.special = "<|endoftext|>"
-        self.coding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={self.special: 50256})
+        self.coding = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.coding.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.coding.encode(text, allowed_special="all"), "<u2").tobytes()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.coding.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if self.special in text:
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        known, coding = self.known, self.coding
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        parts = [np.array(coding.encode_ordinary(first), "<u2").tobytes()]
-        for word in rest:
-            got = known.get(word)
-            if got is None:
-                if not word or word[0].isspace():
-                    return self.whole(text)
-                got = np.array(coding.encode_ordinary(" " + word), "<u2").tobytes()
-                if len(word) <= 64:
-                    known[word] = got
-            parts.append(got)
-        return b"".join(parts)
+        parts: list[list[str] | None] = []
+        whole, new = [], {}
+        for text in texts:
+            words = text.split(" ")
+            if "" in words[1:] or any(w[0].isspace() for w in words[1:]) or any(t in text for t in self.special):
+                parts.append(None)
+                whole.append(text)
+                continue
+            words[1:] = [" " + w for w in words[1:]]
+            parts.append(words)
+            new.update((w, None) for w in words if w not in known)
+        fresh = dict(zip(new, self._ids(list(new)))) if new else {}
+        rest = iter(self._ids(whole)) if whole else iter(())
+        out = [next(rest) if words is None else b"".join([fresh[w] if w in fresh else known[w] for w in words]) for words in parts]
+        known.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -84,7 +86,7 @@ def encoder(path: str | None) -> Encoder:
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        path = public_tokenizers.path("byte_bpe_50k.json")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -129,7 +131,7 @@ def encoded(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         encode, table = encoder(settings.vocabulary), projection()
         end = np.array([settings.end], "<u2").tobytes()
         for batch in blocks(batches, "text", 1 << 22):
-            ids = [encode(text) + end for text in batch.column("text").to_pylist()]
+            ids = [x + end for x in encode(batch.column("text").to_pylist())]
             lengths = np.array([len(x) // 2 for x in ids])
             vectors = np.add.reduceat(table[np.frombuffer(b"".join(ids), "<u2")], np.cumsum(lengths) - lengths, axis=0)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -193,5 +195,8 @@ def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     The ids are written once to the shared folder, so that finding the ranges doesn't encode again; doc_id breaks ties of the key, so
     copies spread over ranges."""
     ids = settle(encoded(docs, settings), "packing-ids")
-    ordered = ids.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
+    size = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // settings.range_bytes))
+    spread = F.xxhash64("doc_id", F.crc32("ids"))  # rows of one key and doc_id, as those without any, still differ
+    ordered = ids.repartitionByRange(parts, "key", "doc_id", spread).sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
     return packed(ordered, settings)
