@@ -1,14 +1,19 @@
 """URL filters: a bit-parallel automaton runs all glob rules over each canonical URL at the same time.
 
-A rule is a glob over ``.host`` + a mark + ``path``: ``*`` stands for any run. Every pattern has a bit for each of its symbols in a row
-of 64-bit words; one shift, mask and loop step by symbol moves all patterns of all URLs of a batch (Shift-And, stars as self-loops).
-
-A null URL, or one without ``://``, has empty host and path; no rule of a host fits it, and globs see only the mark. Long URLs are run whole.
+A rule of a host is a pattern over ``.host`` + a mark + ``path`` as the contract cuts them; a glob's is over the canonical URL: host without
+user, port and closing dots, then path and query, percent escapes of letters, digits and ``-._~`` undone, all in lower case, no fragment.
+``*`` stands for any run. Every pattern has a bit for each of its symbols in a row of 64-bit words; one shift, mask and loop step by symbol
+moves all patterns of all URLs of a block (Shift-And, stars as self-loops).
+
+A null URL, or one without ``://``, has empty host and path; no rule of a host fits it, and globs see only the mark. Long URLs are run whole,
+in blocks of bounded size. Of equally long rules the first in order decides. Repeated rows are judged each; columns but page_id and url,
+whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +23,8 @@ from pyspark.sql import functions as F
 
 #: Stands between host and path; no code point of a text has this number.
 MARK = 0x110000
-LONG = 4096
+#: Words of state and code points that a block of URLs may hold at once.
+STATE_WORDS, BLOCK_POINTS = 1 << 21, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -43,8 +49,31 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: The method's own globs; they decide where no rule above fits. Any host or path with these words is blocked, the rest allowed.
-GLOBS = tuple(Rule("block", glob=g) for g in ("*spam*", "*cheap-pills*", "*casino*", "*malware*", "*free-*-download*"))
+#: Words of addresses that a training corpus leaves out, and where a glob looks for them.
+WORDS = (
+    "spam cheap-pills casino malware poker jackpot slots betting bingo payday-loan viagra cialis replica-watch escort xxx porn adult-dating "
+    "hookup warez keygen crack-download torrent phishing clickbait free-money work-from-home crypto-giveaway forex-signals link-farm "
+    "doorway popup-ads adserver tracking-pixel linkwheel spinbot scraper-site autoblog essay-mill fake-id counterfeit weight-loss-pills miracle-cure"
+)
+SHAPES = ("*.{}.*", "*-{}.*", "*.{}-*", "*/{}/*", "*/{}-*", "*-{}/*", "*={}&*")
+
+
+def word_globs(words: Iterable[str] = WORDS.split(), shapes: tuple[str, ...] = SHAPES) -> tuple[Rule, ...]:
+    """A block rule for each word in each shape."""
+    return tuple(Rule("block", glob=shape.format(word)) for word in words for shape in shapes)
+
+
+#: The method's own globs; they decide where no rule above fits.
+GLOBS = tuple(Rule("block", glob=g) for g in ("*spam*", "*cheap-pills*", "*casino*", "*malware*", "*free-*-download*")) + word_globs()
+
+
+def read_rules(table: DataFrame) -> tuple[Rule, ...]:
+    """Rules from a table (verdict, host, path, glob) that people keep, in its natural order of all columns; nulls are empty. It goes to every
+    task as masks, so more than 100,000 rows are refused."""
+    rows = table.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("verdict", "host", "path", "glob")]).distinct().limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("More than 100000 rules")
+    return tuple(Rule(*r) for r in sorted(map(tuple, rows)))
 
 
 class Automaton:
@@ -85,10 +114,10 @@ class Automaton:
         order = np.argsort([-len(u) for u in urls], kind="stable")
         lengths = np.array([len(urls[k]) for k in order])
         states = np.tile(self.start, (len(urls), 1))
-        flat = np.concatenate([urls[k] for k in order]) if len(urls) else np.zeros(0, np.int64)
+        flat = np.concatenate([urls[k] for k in order]) if len(urls) else np.zeros(0, np.uint32)
         found = np.searchsorted(self.symbols, flat)
         found[found == len(self.symbols)] = 0
-        classes = np.where(self.symbols[found] == flat, found, len(self.symbols)) if len(self.symbols) else np.zeros(len(flat), int)
+        classes = np.where(self.symbols[found] == flat, found, len(self.symbols)).astype(np.int32) if len(self.symbols) else np.zeros(len(flat), np.int32)
         begin = np.cumsum(lengths) - lengths
         one, top = np.uint64(1), np.uint64(63)
         for j in range(lengths[0] if len(lengths) else 0):
@@ -101,56 +130,86 @@ class Automaton:
         out[order] = (states[:, self.last // 64] >> (self.last % 64).astype(np.uint64)) & one > 0
         return out
 
+    def fits(self, urls: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+        """Numbers of the patterns that fit each URL, in blocks that the state words and the code points bound; one longer URL is a block."""
+        rows, held, size = max(1, STATE_WORDS // self.words), [], 0
+        for url in urls:
+            if held and (len(held) >= rows or size + len(url) > BLOCK_POINTS):
+                yield from map(np.flatnonzero, self.run(held))
+                held, size = [], 0
+            held.append(url)
+            size += len(url)
+        if held:
+            yield from map(np.flatnonzero, self.run(held))
+
 
 def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
-    code = lambda text: [None if c == "*" else ord(c) for c in text]
-    plain = lambda text: [ord(c) for c in text]
+    points = lambda text: [ord(c) for c in text]
     patterns = []
     for rule in rules:
         if rule.glob:
-            # a glob may run over the host, the path or both; the mark counts as nothing, so a star crosses it
-            patterns.append([None, *code(rule.glob), None] if not rule.glob.startswith("*") else [*code(rule.glob), *([] if rule.glob.endswith("*") else [None])])
+            # a glob may begin and end anywhere; the mark between host and path counts as nothing, so a star crosses it
+            code = [None if c == "*" else ord(c) for c in rule.glob]
+            patterns.append([*([] if code[0] is None else [None]), *code, *([] if code[-1] is None else [None])])
         else:
-            patterns.append([None, *plain("." + rule.host), MARK, *plain(rule.path), None])
+            patterns.append([None, *points("." + rule.host), MARK, *points(rule.path), None])
     return Automaton(patterns)
 
 
-def canonical(url: Column) -> tuple[Column, Column]:
-    """(host, path) of a URL."""
+def host_path(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a URL, as the contract cuts it."""
     pattern = r"^(?s).*?://([^/?#]*)([^?#]*)"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     url = F.coalesce(url, F.lit(""))
     return F.translate(F.regexp_extract(url, pattern, 1), upper, lower), F.regexp_extract(url, pattern, 2)
 
 
-def fits(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
-    """Numbers of all rules that fit, ascending, as an array of ints."""
+#: A percent escape of an unreserved character: letters, digits, ``-``, ``.``, ``_`` and ``~``.
+_PLAIN = {f"%{ord(c):02x}": c for c in "abcdefghijklmnopqrstuvwxyz0123456789-._~"} | {f"%{ord(c):02x}": c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_ESCAPE = re.compile("|".join(sorted(_PLAIN)))
+
+
+def canonical(url: str) -> tuple[str, str]:
+    """(host, path and query) for globs: ``//user@Host.:80/A%62?q#f`` behind a scheme is ``host`` and ``/ab?q``; empty without ``://``."""
+    _, found, rest = url.partition("://")
+    rest = _ESCAPE.sub(lambda m: _PLAIN[m[0]], rest.partition("#")[0].lower()) if found else ""
+    cut = min((k for k in map(rest.find, "/?") if k >= 0), default=len(rest))
+    host = rest[:cut].rpartition("@")[2]
+    name, port, number = host.rpartition(":")
+    return (name if port and (not number or number.isdecimal()) else host).rstrip("."), rest[cut:]
+
+
+def fits(url: Column, host: Column, path: Column, rules: tuple[Rule, ...], globs: tuple[Rule, ...]) -> Column:
+    """Numbers of all rules that fit, then those of the globs behind them, ascending, as an array of ints."""
+
+    def coded(host: str, rest: str) -> np.ndarray:
+        out = np.frombuffer(f".{host}\0{rest}".encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        out[len(host) + 1] = MARK
+        return out
 
     @F.pandas_udf("array<int>")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        automaton = compile_rules(rules)
-        mark = np.array([MARK], np.int64)
-        points = lambda text: np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        for hosts, paths in parts:
-            urls = [np.concatenate([points("." + h), mark, points(p)]) for h, p in zip(hosts, paths)]
-            out = []
-            for at in range(0, len(urls), LONG):
-                out += [np.flatnonzero(row).astype(np.int32) for row in automaton.run(urls[at : at + LONG])]
-            yield pd.Series(out, index=hosts.index)
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        plain, wild = compile_rules(rules), compile_rules(globs)
+        for urls, hosts, paths in parts:
+            by_host = plain.fits(coded(h, p) for h, p in zip(hosts, paths))
+            by_glob = wild.fits(coded(*canonical(u)) for u in urls)
+            out = [np.concatenate([a, b + len(rules)]).astype(np.int32) for a, b in zip(by_host, by_glob)]
+            yield pd.Series(out, index=hosts.index, dtype=object)
 
-    return run(host, path)
+    return run(F.coalesce(url, F.lit("")), host, path)
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, globs: tuple[Rule, ...] = GLOBS) -> DataFrame:
     """(page_id, host, path, rule, verdict, globs): the longest fitting rule decides (of equal ones the first), else the globs."""
-    host, path = canonical(F.col("url"))
-    parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    found = parts.withColumn("fit", fits(F.col("host"), F.col("path"), rules + globs))
+    host, path = host_path(F.col("url"))
+    parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    found = parts.withColumn("fit", fits(F.col("url"), F.col("host"), F.col("path"), rules, globs))
     by_length = sorted(range(len(rules)), key=lambda k: (-len(rules[k].name), k))
     rule, verdict = F.lit(None).cast("string"), F.when(F.exists("fit", lambda k: k >= len(rules)), "block").otherwise("allow")
     for k in reversed(by_length):
         hit = F.array_contains("fit", k)
         rule = F.when(hit, rules[k].name).otherwise(rule)
         verdict = F.when(hit, rules[k].verdict).otherwise(verdict)
-    names = F.transform(F.filter("fit", lambda k: k >= len(rules)), lambda k: F.element_at(F.array(*[F.lit(g.name) for g in globs]), k - len(rules) + 1))
-    return found.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.array_join(names, ",").alias("globs"))
+    names = F.array(*[F.lit(g.name) for g in globs])
+    hits = F.transform(F.filter("fit", lambda k: k >= len(rules)), lambda k: F.get(names, k - len(rules)))
+    return found.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.array_join(hits, ",").alias("globs"))

@@ -1,5 +1,6 @@
 """Nearest neighbours, n-gram join, packing and the pipeline against plain Python."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -202,9 +203,12 @@ ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "it's  they'll 'd", "x<|endof
 
 def test_encoder_equals_the_tokenizer(tokenizer, spark, tiny):
     texts = ODD + [r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect() if r.text]
-    encode = packing.encoder(None)
-    for text in texts:
-        assert np.frombuffer(encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
+    rng = random.Random(6)
+    points = [*map(chr, range(32, 127)), *" \t\n\r\x1c\x85\xa0\u2003\u3000", *(chr(rng.choice((rng.randrange(0x20, 0x3000), rng.randrange(0xE000, 0x110000)))) for _ in range(400)), " ", " ", "'s", "<|endoftext|>"]
+    texts += ["".join(rng.choices(points, k=rng.randrange(40))) for _ in range(3000)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    for text, ids in zip(texts, packing.encoder(None)(texts)):
+        assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
 
 
 def check_pieces(rows, docs, tokenizer, length=2048):

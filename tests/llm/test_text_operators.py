@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -169,16 +170,37 @@ def test_url_rules(spark, tiny):
     rows = urlrules.judge(spark.createDataFrame([(k, u, "r") for k, u in enumerate(urls)], "page_id long, url string, rule string")).collect()
     assert len(rows) == len(urls)
     globs = [re.compile("(?s)" + ".*".join(map(re.escape, g.glob.split("*")))) for g in urlrules.GLOBS]
+    assert len(globs) > 200
     for r in rows:
         host, path = host_path(urls[r.page_id])
         assert (r.host, r.path) == (host, path)
         rule = rule_of(host, path)
         assert r.rule == (rule.name if rule else None), (host, path)
-        want = rule.verdict if rule else "block" if any(g.search(part) for g in globs for part in ("." + host + "\U0010ffff" + path,)) else "allow"
-        assert r.verdict == want
+        part = ".{}\U0010ffff{}".format(*urlrules.canonical(urls[r.page_id] or ""))
+        hits = [g.name for g, p in zip(urlrules.GLOBS, globs) if p.search(part)]
+        assert r.globs == ",".join(hits)
+        assert r.verdict == (rule.verdict if rule else "block" if hits else "allow")
     assert urlrules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_canonical_urls():
+    canonical = urlrules.canonical
+    assert canonical("HTTP://me:pw@WWW.Example.COM.:8080/A%62c%2F?Q=%7Ex#frag") == ("www.example.com", "/abc%2f?q=~x")
+    assert canonical("https://h?x@y:1") == ("h", "?x@y:1") and canonical("no scheme") == ("", "") == canonical("")
+    assert canonical("http://[::1]:80/a") == ("[::1]", "/a") and canonical("ftp://a.b:x/") == ("a.b:x", "/")
+
+
+def test_rules_of_a_table_and_urls_of_any_length(spark):
+    table = spark.createDataFrame([("block", None, None, f"*word{k}*z{k}") for k in range(2000)] + [("block", None, None, "*word7*z7"), ("allow", "a.org", "/x", None)], "verdict string, host string, path string, glob string")
+    rules = urlrules.read_rules(table)
+    assert len(rules) == 2001
+    urls = [f"http://h.com/word{k}/" + "y" * (k % 50) + f"z{k}" for k in range(0, 2000, 40)] + ["http://h.com/" + "q" * 300_000 + "word1999z1999", None, "http://b.a.org/xword7z7"]
+    out = {r.page_id: r for r in urlrules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), tuple(r for r in rules if r.host), tuple(r for r in rules if r.glob)).collect()}
+    for k in range(50):
+        assert out[k].verdict == "block" and f"*word{40 * k}*z{40 * k}" in out[k].globs.split(",")
+    assert out[50].verdict == "block" and out[51].verdict == "allow" and (out[52].verdict, out[52].rule) == ("allow", "a.org/x")
+
+
 def test_automaton_over_many_words():
     rng = random.Random(3)
     patterns = ["".join(rng.choices("ab*", k=rng.randrange(1, 12))) for _ in range(60)]
@@ -210,6 +232,55 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in langid.digest(spark.createDataFrame([(1, "abc", None, "")], kind)).collect()} == {"und"}
 
 
+def language_by_force(text, model):
+    """Logits of one text, subword by subword."""
+    factors, total, n = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.zeros(len(model.langs)), 0
+    text = text.lower() + "\n"
+    is_letter = [unicodedata.category(c).startswith("L") for c in text]
+    code = [ord(c) if ok else 32 for c, ok in zip(text, is_letter)]
+    for size in range(1, 5):
+        for at in range(len(text) - size + 1):
+            here = is_letter[at : at + size]
+            if not (here[0] if size == 1 else any(here) if size == 2 else all(here[1:-1])):
+                continue
+            h = sum(code[at + k] * factors[k] for k in range(size)) * (0x9E3779B1 + 2 * size) & 0xFFFFFFFF
+            total += model.table[h >> 17]
+            n += 1
+    z = (total / max(n, 1) + model.bias) / model.temperature
+    return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+
+def test_language_scores_equal_plain_loops(spark, tiny, monkeypatch):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(60)
+    rows = langid.count_subwords(docs.filter("text is not null and lang is not null").select("lang", "text")).collect()
+    model = langid.train(rows, langid.Settings(epochs=1))
+    texts = [r.text or "" for r in docs.collect()] + ["a", "Straße, ünd! 12 ab", "x y z " * 300]
+    want = [language_by_force(t, model) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in langid.predict(df, model).collect():
+        assert abs(r.score - (want[r.doc_id].max() if any(c.isalpha() for c in texts[r.doc_id]) else 0)) < 1e-4
+    monkeypatch.setattr(langid, "PIECE", 64)
+    import pyarrow as pa
+
+    for k in range(0, len(texts), 7):
+        found = np.zeros(langid.BUCKETS, int), np.zeros(langid.BUCKETS, int)
+        for out, size in zip(found, (64, 1 << 18)):
+            monkeypatch.setattr(langid, "PIECE", size)
+            for parts, _ in langid.pieces([texts[k]])[0]:
+                for h, good in langid.subwords(parts)[0]:
+                    out += np.bincount(h[good], minlength=langid.BUCKETS)
+        assert (found[0] == found[1]).all()
+
+
+def test_languages_are_drawn_evenly_and_within_the_bound(spark):
+    rows = [(None, f"text {k}", "en") for k in range(900)] + [(None, "the same", "en")] * 500 + [(7, f"der text {k}", "de") for k in range(300)] + [(1, "un texte", "fr")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in langid.drawn(df, F.lit(True), langid.Settings(sample=300)).collect()]
+    assert len(got) == len(set(got)) <= 300
+    by = {lang: sum(g[0] == lang for g in got) for lang in ("en", "de", "fr")}
+    assert by["fr"] == 1 and by["en"] == by["de"] == 100
+
+
 def test_quality_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -231,6 +302,24 @@ def test_quality_of_odd_rows(spark):
     assert len(rows) == 50 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_scores_equal_plain_sums(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    labels = spark.read.parquet(f"{tiny}/labels.parquet").select("doc_id", F.col("quality").alias("y"))
+    stats = {r.doc_id: np.array(r.x) for r in quality.with_statistics(docs).collect()}
+    drawn = quality.drawn(labels, F.lit(True))
+    model = quality.fit_texts(docs, drawn)
+    known = {r.doc_id: r.y for r in drawn.collect() if r.doc_id in stats}
+    apart = {r.doc_id for r in spark.createDataFrame([(k,) for k in known], "doc_id long").filter(F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(4)) == 0).collect()}
+    x, y = np.array([stats[k] for k in known if k not in apart]), np.array([known[k] for k in known if k not in apart])
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -6, 6)
+    lift = lambda z: np.array([[np.cos(sum(v * w for v, w in zip(row, model.omega[:, j])) + model.phase[j]) * np.sqrt(2 / len(model.phase)) for j in range(len(model.phase))] + [1.0] for row in z])
+    a = lift(z)
+    weight = np.linalg.solve(a.T @ a + 1e-3 * len(a) * np.eye(a.shape[1]), a.T @ y)
+    assert np.abs(a @ weight - model.raw(x)).max() < 1e-4
+    scores = {r.doc_id: r.s for r in docs.select("doc_id", quality.score_text(F.col("text"), model).alias("s")).collect()}
+    assert all(abs(scores[k] - model.score(v[None].astype(float))[0]) < 1e-4 for k, v in stats.items())
+
+
 def test_isotonic():
     x, y = np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1])
     knots, values = quality.isotonic(x, y)
