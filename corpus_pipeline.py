@@ -28,8 +28,7 @@ def _safe(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose quality score is under 0.3. Without labels all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("y"))
-    stats = settle(quality.with_statistics(docs), "stage-quality")
-    model = quality.fit(stats, labels, ~quality.held_out())
+    model = quality.fit_texts(docs, quality.drawn(labels, ~quality.held_out()))
     return docs.filter(quality.score_text(F.col("text"), model) >= 0.3)
 
 
