@@ -12,7 +12,9 @@ and text, whatever their names, are not looked at. An empty table gives no piece
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.shared import blocks, settle
 
 DIMS, BITS = 4, 12
+#: A space that no word follows: there the rule may cut otherwise.
+_ODD_SPACE = re.compile(r" (?:\s|\Z)")
 #: Entries that a worker remembers of words already encoded, each of some 200 bytes.
 REMEMBERED = 600_000
 
@@ -55,27 +59,33 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.coding.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.coding.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        parts: list[list[str] | None] = []
-        whole, new = [], {}
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, whole, heads, held, new = self.known, [], [], [], {}
         for text in texts:
-            words = text.split(" ")
-            if "" in words[1:] or any(w[0].isspace() for w in words[1:]) or any(t in text for t in self.special):
-                parts.append(None)
+            if _ODD_SPACE.search(text) is not None or any(t in text for t in self.special):
                 whole.append(text)
+                held.append(None)
                 continue
-            words[1:] = [" " + w for w in words[1:]]
-            parts.append(words)
-            new.update((w, None) for w in words if w not in known)
-        fresh = dict(zip(new, self._ids(list(new)))) if new else {}
-        rest = iter(self._ids(whole)) if whole else iter(())
-        out = [next(rest) if words is None else b"".join([fresh[w] if w in fresh else known[w] for w in words]) for words in parts]
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= 64)
+            head, *words = text.split(" ")
+            got = list(map(known.get, words))
+            if None in got:
+                new.update([(w, None) for w, ids in zip(words, got) if ids is None])
+            heads.append(head)
+            held.append((words, got))
+        new = dict(zip(new, self._ids([" " + w for w in new])))
+        rest, head = iter(self._ids(whole)), iter(self._ids(heads))
+        out = []
+        for one in held:
+            if one is None:
+                out.append(next(rest))
+            else:
+                words, got = one
+                out.append(next(head) + b"".join([new[w] if ids is None else ids for w, ids in zip(words, got)] if None in got else got))
+        known.update([(w, ids) for w, ids in new.items() if len(w) <= 64])
         return out
 
 
