@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import ann, links, ngram_join, packing
+from gridloom.llm.shared import settle
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -174,8 +175,27 @@ def test_ngram_join_of_short_copies_quoted_by_many(spark):
 def test_texts_of_a_node_meet_past_its_unlike_first(spark):
     like, unlike = b"\1" * 128, b"\2" * 128
     rows = [(g * 10 + k, sig, [g << 12 | low]) for g in range(1, 41) for k, (sig, low) in enumerate([(unlike, 0), (like, 0x500), (like, 0x900)])]
-    got = {r.node: r.root for r in ngram_join.families(spark.createDataFrame(rows, "nid long, sig binary, labels array<long>"), ngram_join.Settings()).collect()}
-    assert got == {g * 10 + k: g * 10 + 1 for g in range(1, 41) for k in (1, 2)}
+    df = spark.createDataFrame(rows, "nid long, sig binary, labels array<long>")
+    state = df.select("nid", F.col("nid").alias("root"), F.lit(False).alias("done"))
+    settings = ngram_join.Settings()
+    got = {(r.a, r.b) for r in ngram_join.likely(ngram_join.ties(ngram_join.trie_members(df, settings), state, [12, 8, 4], settings), df, settings).collect()}
+    assert got == {(g * 10 + 2, g * 10 + 1) for g in range(1, 41)}
+
+
+def test_pages_of_one_template_are_not_gathered(spark):
+    rng = np.random.default_rng(8)
+    frame = [f"t{k}" for k in range(150)]
+    docs = {k: " ".join(frame + [f"p{k}_{i}" for i in range(46)]) for k in range(600)}  # likeness 0.6 in pairs
+    for k in range(0, 600, 12):
+        words = docs[k].split()
+        words[int(rng.integers(150, 190))] = "changed"
+        docs[1000 + k] = " ".join(words)
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in docs.items()], DOCS)
+    texts = ngram_join.texts_of(df)
+    classes = ngram_join.signatures(texts, ngram_join.Settings()).withColumn("nid", F.col("doc_id"))
+    found = ngram_join.linked(settle(classes, "test-classes"), texts, ngram_join.Settings())[0].collect()
+    assert {(r.node, r.root) for r in found} == {(k + d, k) for k in range(0, 600, 12) for d in (0, 1000)}
+    assert {r.doc_id: (r.class_id, r.text_id, r.n_links, r.n_copies) for r in ngram_join.join(df).collect()} == linked_by_force(docs)
 
 
 def test_ngram_join_of_odd_rows(spark):
@@ -267,7 +287,6 @@ def test_hilbert_neighbours_are_adjacent():
 def test_pipeline(spark, tiny, tokenizer, tmp_path):
     import corpus_pipeline
 
-    from gridloom.llm.shared import settle
     from tests.llm.test_text_operators import base_spans
 
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
