@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.types import STORAGE, TRUE_WORDS, convert, friendly, infer_value, parse_float, strip
+from gridloom.functions.types import STORAGE, TRUE_WORDS, conflicts, convert, friendly, infer_value, parse_float, strip
 from gridloom.operators.order import ROW
 
 #: What a column name may not hold or be.
-FORBIDDEN = " ()[]{}.,;:!@#$%^&*+=|\\/<>?`~\"'"
+FORBIDDEN = " \t\n\r\f\v()[]{}.,;:!@#$%^&*+=|\\/<>?`~\"'"
 RESERVED = (
     "select from where insert update delete create drop table index view function procedure trigger database schema primary foreign key "
     "constraint null not and or in like between exists case when then else group order by having limit offset union join inner outer "
@@ -140,14 +140,17 @@ def cell(df: DataFrame, patches: DataFrame, row: int, column: str) -> DataFrame:
 
 
 def edit_cell(df: DataFrame, row: int, column: str, value: str, convert_column: bool = False) -> DataFrame:
-    """A typed edit (E12): an empty column takes the value's type; a value that doesn't fit converts the column, or is fitted to it."""
+    """A typed edit (E12): an empty column takes the value's type; a value that doesn't fit the column converts it, or is fitted to it.
+
+    A whole number fits a float column, and 0 and 1 fit a column of numbers, so neither converts any."""
     spark = df.sparkSession
     kind = friendly(df.schema[column].dataType)
     patch = spark.createDataFrame([(row, column, value, 1)], "row bigint, col string, value string, seq int")
-    facts = patch.select(infer_value(F.col("value")).alias("kind")).crossJoin(df.agg(F.count(column).alias("n"))).first()
-    if facts.kind and facts.n == 0:
+    given = infer_value(F.col("value"))
+    facts = patch.select(given.alias("kind"), conflicts(kind, given).alias("conflict")).first()
+    if facts.kind and df.filter(F.col(f"`{column}`").isNotNull()).limit(1).count() == 0:
         df = df.withColumn(column, F.lit(None).cast(STORAGE[facts.kind]))
-    elif facts.kind and convert_column and facts.kind != kind and kind != "text":
+    elif facts.conflict and convert_column:
         df = convert(df, column, facts.kind)
     return apply_patches(df, patch)
 

@@ -72,9 +72,13 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
 
 
-def text_counts(df: DataFrame) -> DataFrame:
-    """(column, value, n) of all text columns in one aggregation; null is a value."""
+def text_counts(df: DataFrame, most: int | None = None) -> DataFrame:
+    """(column, value, n) of all text columns in one aggregation; null is a value. With ``most`` only of those that may have no more distinct
+    values, by an approximate count first, so that the values of all others stay where they are."""
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if names and most is not None:
+        about = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(str(k)) for k, c in enumerate(names)]).first()
+        names = [c for k, c in enumerate(names) if about[k] <= 2 * most]  # the estimate errs by a twentieth
     if not names:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in names])
@@ -89,7 +93,7 @@ def top_value(counts: DataFrame) -> DataFrame:
 
 
 def small_counts(counts: DataFrame, most: int = CATEGORIES) -> DataFrame:
-    """Counts of the columns with 1 to ``most`` distinct values. Only that many rows of a column pass to the check."""
+    """Counts of the columns with 1 to ``most`` distinct values."""
     size = counts.groupBy("column").agg(F.count("value").alias("distinct")).filter(F.col("distinct").between(1, most))
     return counts.join(size, "column").select("column", "value", "n")
 
@@ -109,7 +113,7 @@ def edge_rows(df: DataFrame, keys: Keys, n: int = 10) -> DataFrame:
 def document(df: DataFrame, name: str, sample: int = 5) -> DataFrame:
     """One row (name, profile): all of it as a JSON text."""
     columns = profile_columns(df).agg(F.sort_array(F.collect_list(F.struct("column", "type", "friendly", "rows", "nulls", "null_percent", "n", "min", "max", "mean", "median", "std", "distinct"))).alias("columns"))
-    counts = small_counts(text_counts(df)).agg(F.sort_array(F.collect_list(F.struct("column", "n", "value"))).alias("counts"))  # at most 26 a column
+    counts = small_counts(text_counts(df, CATEGORIES)).agg(F.sort_array(F.collect_list(F.struct("column", "n", "value"))).alias("counts"))  # at most 26 a column
     rows = df.limit(sample).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("r")).agg(F.collect_list("r").alias("sample"))
     both = columns.crossJoin(counts).crossJoin(rows)  # one row each
     return both.select(F.lit(name).alias("name"), F.to_json(F.struct("columns", "counts", "sample")).alias("profile"))
@@ -118,3 +122,11 @@ def document(df: DataFrame, name: str, sample: int = 5) -> DataFrame:
 def table_profile(name: str, df: DataFrame) -> DataFrame:
     """(table_name, rows, columns): by one count."""
     return df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows", F.lit(len(df.columns)).cast("bigint").alias("columns"))
+
+
+def table_columns(name: str, df: DataFrame, sample: int = 5) -> DataFrame:
+    """(table_name, column, place, type, friendly, nullable, sample): a row for each column, with its values in the first rows as texts."""
+    texts = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))).alias(f"c{k}") for k, f in enumerate(df.schema.fields)]
+    first = df.limit(sample).select(*texts).agg(*[F.collect_list(f"c{k}").alias(f"c{k}") for k in range(len(df.columns))])
+    facts = [F.struct(F.lit(f.name).alias("column"), F.lit(k).alias("place"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(friendly(f.dataType)).alias("friendly"), F.lit(f.nullable).alias("nullable"), F.col(f"c{k}").alias("sample")) for k, f in enumerate(df.schema.fields)]
+    return first.select(F.lit(name).alias("table_name"), F.inline(F.array(*facts)))

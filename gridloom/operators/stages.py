@@ -62,8 +62,10 @@ class Stage:
     def schema(self) -> dict[str, str]:
         return dict(self.df.dtypes) if self.df is not None else {}
 
-    def apply(self, step: Step | str, text: str = "", description: str | None = None) -> DataFrame:
-        """Run a callable, or SQL over ``{df}`` with the stage's parameters bound, and record it."""
+    def apply(self, step: Step | str, text: str = "", description: str | None = None, track: bool = True) -> DataFrame:
+        """Run a callable, or SQL over ``{df}`` with the stage's parameters bound, and record it.
+
+        ``track`` fingerprints the input, which runs all steps up to here; without it a step costs nothing until its rows are asked for."""
         if self.df is None:
             raise ValueError("No data loaded")
         if isinstance(step, str):
@@ -73,7 +75,7 @@ class Stage:
         out = step(self.df)
         if not isinstance(out, DataFrame):
             raise ValueError("A step must return a DataFrame")
-        self.steps.append(Record(text, fingerprint(self.df), dict(out.dtypes), {"description": description} if description else {}, step))
+        self.steps.append(Record(text, fingerprint(self.df) if track else "", dict(out.dtypes), {"description": description} if description else {}, step))
         self.df = out
         return out
 
@@ -108,8 +110,8 @@ class Workbook:
             raise ValueError(f"Sheet '{name}' not found")
         return self.stages[name]
 
-    def apply(self, name: str, step: Step | str, text: str = "", description: str | None = None) -> DataFrame:
-        out = self.get(name).apply(step, text, description)
+    def apply(self, name: str, step: Step | str, text: str = "", description: str | None = None, track: bool = True) -> DataFrame:
+        out = self.get(name).apply(step, text, description, track)
         out.createOrReplaceTempView(name)
         return out
 

@@ -129,10 +129,10 @@ def profile_text(spark, sf_dir):
 )
 def value_counts_small(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"), "o_orderpriority", F.col("o_orderkey").cast("string").alias("many"))
-    return profile.small_counts(profile.text_counts(rows))
+    return profile.small_counts(profile.text_counts(rows, profile.CATEGORIES))
 
 
-TABLES = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6}
+TABLES = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5, "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
 
 
 @BOOK.add(" UNION ALL ".join(f"""SELECT '{t}' AS table_name, count(*) AS "rows", CAST({n} AS BIGINT) AS "columns" FROM {t}""" for t, n in TABLES.items()))
@@ -142,7 +142,7 @@ def table_profile(spark, sf_dir):
 
 @BOOK.add()
 def profile_document(spark, sf_dir):
-    return profile.document(table(spark, sf_dir, "orders").drop("o_orderdate"), "orders")
+    return profile.document(table(spark, sf_dir, "orders"), "orders")
 
 
 @BOOK.add("""SELECT 'head' AS part, CAST(r AS INTEGER) AS place, n_name AS name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS r FROM nation) WHERE r <= 10
@@ -159,3 +159,30 @@ def edge_rows(spark, sf_dir):
 def compact_numbers(spark, sf_dir):
     sums = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.floor(F.sum("o_totalprice")).alias("s"))
     return sums.select("o_custkey", sqlcompat.compact(F.col("s")).alias("short"))
+
+
+KIND = "CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN column_type = 'DOUBLE' THEN 'float' ELSE 'text' END"
+
+
+@BOOK.add(f"""SELECT column_name AS "column", {KIND} AS friendly FROM (DESCRIBE lineitem)""")
+def profile_types(spark, sf_dir):
+    return profile.profile_columns(table(spark, sf_dir, "lineitem"), exact=False).select("column", "friendly")
+
+
+@BOOK.add(" UNION ALL ".join(f"""SELECT '{t}' AS table_name, column_name AS "column", {KIND} AS friendly FROM (DESCRIBE {t})""" for t in TABLES))
+def table_columns(spark, sf_dir):
+    return reduce(lambda a, b: a.unionByName(b), [profile.table_columns(t, table(spark, sf_dir, t)).select("table_name", "column", "friendly") for t in TABLES])
+
+
+@BOOK.add("SELECT o_orderkey, o_orderkey % 3 = 0 AS point, o_orderkey % 3 IN (0, 1) AS misfit FROM orders")
+def value_conflicts(spark, sf_dir):
+    """Values that a column of integers can't hold, and numbers in texts that have a point."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.concat(k.cast("string"), F.lit(".5"))).when(k % 3 == 1, F.concat(F.lit("no "), k.cast("string"))).otherwise(k.cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", types.number_has_point(text).alias("point"), types.conflicts("integer", types.infer_value(text)).alias("misfit"))
+
+
+@BOOK.add("SELECT count(event_type) = 0 AS types, count(CASE WHEN value < 0 AND value > 0 THEN 1 END) = 0 AS none FROM events")
+def empty_columns(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", F.when((F.col("value") < 0) & (F.col("value") > 0), 1).alias("none"))
+    return rows.agg(types.is_empty("event_type").alias("types"), types.is_empty("none").alias("none"))

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.operators import edit, order, stages
 from gridloom.plans.book import Book, table
 
 BOOK = Book()
-NATION = "SELECT row_number() OVER (ORDER BY n_nationkey) AS r, n_nationkey, n_name FROM nation"
+CUSTOMERS = "SELECT row_number() OVER (ORDER BY c_custkey) AS r, c_custkey, c_name, c_nationkey FROM customer"
 
 
-def _nation(spark, sf_dir):
-    return order.with_row_index(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), [("n_nationkey", True)])
+def _customers(spark, sf_dir):
+    return order.with_row_index(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), [("c_custkey", True)])
 
 
 @BOOK.add(
@@ -30,41 +31,74 @@ def patch_cells(spark, sf_dir):
 
 
 @BOOK.add(
-    f"""WITH t AS ({NATION}), u AS (SELECT r + (CASE WHEN r >= 1 THEN 1 ELSE 0 END) + (CASE WHEN r >= 5 THEN 1 ELSE 0 END) AS r, n_nationkey, n_name FROM t
-    UNION ALL SELECT 1, NULL, NULL UNION ALL SELECT 6, NULL, NULL UNION ALL SELECT 28, NULL, NULL) SELECT CAST(r AS BIGINT) AS _row, n_nationkey, n_name FROM u"""
+    f"""WITH t AS ({CUSTOMERS}), u AS (SELECT r + (CASE WHEN r >= 1 THEN 1 ELSE 0 END) + (CASE WHEN r >= 5 THEN 1 ELSE 0 END) AS r, c_custkey, c_name, c_nationkey FROM t
+    UNION ALL SELECT 1, NULL, NULL, NULL UNION ALL SELECT 6, NULL, NULL, NULL UNION ALL SELECT count(*) + 3, NULL, NULL, NULL FROM t) SELECT CAST(r AS BIGINT) AS _row, c_custkey, c_name, c_nationkey FROM u"""
 )
 def insert_rows(spark, sf_dir):
-    return edit.insert_rows(_nation(spark, sf_dir), [5, 1, 99])
+    return edit.insert_rows(_customers(spark, sf_dir), [5, 1, 10**12])
 
 
-@BOOK.add(f"SELECT CAST(row_number() OVER (ORDER BY r) AS BIGINT) AS _row, n_nationkey, n_name FROM ({NATION}) WHERE r NOT IN (1, 7, 25)")
+@BOOK.add(f"SELECT CAST(row_number() OVER (ORDER BY r) AS BIGINT) AS _row, c_custkey, c_name, c_nationkey FROM ({CUSTOMERS}) WHERE r NOT IN (1, 7, 25)")
 def delete_rows(spark, sf_dir):
-    return edit.delete_rows(_nation(spark, sf_dir), [7, 25, 1])
+    return edit.delete_rows(_customers(spark, sf_dir), [7, 25, 1])
 
 
-@BOOK.add(f"SELECT CAST(r AS BIGINT) AS _row, n_nationkey, n_name FROM ({NATION}) UNION ALL SELECT count(*) + 1, NULL, NULL FROM nation")
+@BOOK.add(f"SELECT CAST(r AS BIGINT) AS _row, c_custkey, c_name, c_nationkey FROM ({CUSTOMERS}) UNION ALL SELECT count(*) + 1, NULL, NULL, NULL FROM customer")
 def append_row(spark, sf_dir):
-    return edit.append_row(_nation(spark, sf_dir))
+    return edit.append_row(_customers(spark, sf_dir))
 
 
-@BOOK.add('SELECT n_nationkey, CAST(NULL AS VARCHAR) AS "Column_1", n_name, CAST(NULL AS VARCHAR) AS "Column_2" FROM nation')
+@BOOK.add('SELECT c_custkey, CAST(NULL AS VARCHAR) AS "Column_1", c_name, CAST(NULL AS VARCHAR) AS "Column_2" FROM customer')
 def add_column(spark, sf_dir):
-    return edit.add_column(edit.add_column(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 1), 99)
+    return edit.add_column(edit.add_column(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 1), 99)
 
 
-@BOOK.add('SELECT CAST(NULL AS VARCHAR) AS "Column_1" FROM nation')
+@BOOK.add('SELECT CAST(NULL AS VARCHAR) AS "Column_1" FROM customer')
 def delete_last_column(spark, sf_dir):
-    return edit.delete_column(edit.delete_column(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 1), 0)
+    return edit.delete_column(edit.delete_column(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 1), 0)
 
 
-@BOOK.add("SELECT n_nationkey AS nation_id, n_name FROM nation")
+@BOOK.add("SELECT c_custkey AS customer_id, c_name FROM customer")
 def rename_column(spark, sf_dir):
-    return edit.rename_column(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", "nation_id")
+    return edit.rename_column(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", "customer_id")
 
 
-@BOOK.add(f"SELECT CAST(r AS BIGINT) AS _row, CASE WHEN r = 3 THEN 12.75 ELSE CAST(n_nationkey AS DOUBLE) END AS n_nationkey FROM ({NATION})")
+@BOOK.add(f"SELECT CAST(r AS BIGINT) AS _row, CASE WHEN r = 3 THEN 12.75 ELSE CAST(c_nationkey AS DOUBLE) END AS c_nationkey FROM ({CUSTOMERS})")
 def typed_edit(spark, sf_dir):
-    return edit.edit_cell(_nation(spark, sf_dir).select("_row", "n_nationkey"), 3, "n_nationkey", "12.75", convert_column=True)
+    return edit.edit_cell(_customers(spark, sf_dir).select("_row", "c_nationkey"), 3, "c_nationkey", "12.75", convert_column=True)
+
+
+PRICES = "SELECT row_number() OVER (ORDER BY o_orderkey) AS r, o_totalprice, o_custkey FROM orders"
+
+
+def _prices(spark, sf_dir, column):
+    rows = order.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey", column), [("o_orderkey", True)])
+    return rows.select("_row", column)
+
+
+@BOOK.add(f"SELECT CAST(r AS BIGINT) AS _row, CASE WHEN r = 2 THEN 5.0 ELSE o_totalprice END AS o_totalprice FROM ({PRICES})")
+def typed_edit_whole(spark, sf_dir):
+    """A whole number leaves a column of floats as it is."""
+    return edit.edit_cell(_prices(spark, sf_dir, "o_totalprice"), 2, "o_totalprice", "5", convert_column=True)
+
+
+@BOOK.add(f"SELECT CAST(r AS BIGINT) AS _row, CASE WHEN r = 2 THEN 1 ELSE o_custkey END AS o_custkey FROM ({PRICES})")
+def typed_edit_bool(spark, sf_dir):
+    """1 is a number in a column of integers."""
+    return edit.edit_cell(_prices(spark, sf_dir, "o_custkey"), 2, "o_custkey", "1", convert_column=True)
+
+
+@BOOK.add("SELECT o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 2")
+def cell_value(spark, sf_dir):
+    patches = spark.createDataFrame([(2, "o_totalprice", "7", 1)], "row bigint, col string, value string, seq int")
+    return edit.cell(_prices(spark, sf_dir, "o_totalprice"), patches, 3, "o_totalprice")
+
+
+@BOOK.add("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey WHEN 3 THEN -o_orderkey END AS fitted FROM orders")
+def fitted_values(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 4 == 0, key).when(F.col("o_orderkey") % 4 == 1, F.concat(key, F.lit(".75"))).when(F.col("o_orderkey") % 4 == 2, F.lit("  ")).otherwise(F.concat(F.lit("-"), key, F.lit(".5")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", edit.fitted(text, T.LongType()).alias("fitted"))
 
 
 @BOOK.add("SELECT CAST(c_custkey AS VARCHAR) AS key, c_acctbal AS amount FROM customer UNION ALL SELECT s_name, CAST(s_nationkey AS DOUBLE) FROM supplier")
@@ -89,3 +123,14 @@ def replayed_steps(spark, sf_dir):
     stage.apply("SELECT * FROM {df} WHERE c_acctbal > :least", description="rich ones")
     stage.apply(lambda df: df.groupBy("c_mktsegment").agg(F.count("*").alias("n")), "count by segment")
     return stage.replay(customer)
+
+
+@BOOK.add("SELECT 'rich' AS sheet, c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 2 UNION ALL SELECT 'all', c_mktsegment, count(*) FROM customer GROUP BY 2")
+def branched_sheets(spark, sf_dir):
+    """A branch goes its own way; the sheet that it came from stays."""
+    book = stages.Workbook(spark)
+    book.add("all", table(spark, sf_dir, "customer"))
+    book.branch("all", "rich")
+    book.apply("rich", "SELECT * FROM {df} WHERE c_acctbal > 5000", track=False)
+    found = [book.apply(name, lambda df, name=name: df.groupBy("c_mktsegment").agg(F.count("*").alias("n")).select(F.lit(name).alias("sheet"), "c_mktsegment", "n"), track=False) for name in ("rich", "all")]
+    return found[0].unionByName(found[1])

@@ -58,20 +58,11 @@ def join_cross(spark, sf_dir):
     return frame.join(table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "region").select("r_name"), [], [], "cross")
 
 
-@BOOK.add(
-    """SELECT count(*) AS n FROM (SELECT nullif(event_type, 'error') AS k FROM events WHERE event_id % 10 = 0) a
-    JOIN (SELECT DISTINCT nullif(event_type, 'error') AS k FROM events) b ON a.k IS NOT DISTINCT FROM b.k"""
-)
-def join_nulls(spark, sf_dir):
-    keys = table(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("error")).alias("k"))
-    return frame.join(keys.filter("event_id % 10 = 0"), keys.select("k").distinct(), ["k"], join_nulls=True).agg(F.count("*").alias("n"))
-
-
 @BOOK.add(
     """SELECT count(*) AS n FROM (SELECT nullif(event_type, 'error') AS k FROM events) a
     JOIN (SELECT DISTINCT nullif(event_type, 'error') AS k FROM events) b ON a.k IS NOT DISTINCT FROM b.k"""
 )
-def join_nulls_whole(spark, sf_dir):
+def join_nulls(spark, sf_dir):
     keys = table(spark, sf_dir, "events").select("event_id", F.nullif("event_type", F.lit("error")).alias("k"))
     return frame.join(keys, keys.select("k").distinct(), ["k"], join_nulls=True).agg(F.count("*").alias("n"))
 
@@ -108,9 +99,9 @@ def unique_last(spark, sf_dir):
     return frame.unique(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "last", "event_id")
 
 
-@BOOK.add("SELECT user_id, event_type, event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS k FROM events) WHERE k = 1")
+@BOOK.add("SELECT l_orderkey, l_returnflag, l_linestatus, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus) AS k FROM lineitem) WHERE k = 1")
 def unique_none(spark, sf_dir):
-    return frame.unique(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "none")
+    return frame.unique(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_partkey"), ["l_orderkey", "l_returnflag", "l_linestatus"], "none")
 
 
 @BOOK.add("SELECT DISTINCT user_id, event_type FROM events")
@@ -148,21 +139,11 @@ def quantile_nearest(spark, sf_dir):
     return frame.quantile_nearest(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.9)
 
 
-@BOOK.add(
-    """SELECT o.o_orderkey, max_by(e.event_id, e.event_id) AS event_id FROM (SELECT o_orderkey, o_custkey AS user_id, o_orderkey * 3 AS t FROM orders WHERE o_orderkey < 2000) o
-    LEFT JOIN (SELECT user_id, event_id, event_id AS t FROM events) e ON e.user_id = o.user_id AND e.t <= o.t GROUP BY 1"""
-)
-def as_of_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey < 2000").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") * 3).alias("t"))
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("t"))
-    return frame.as_of(orders, events, "user_id", "t", "event_id").select("o_orderkey", "event_id")
-
-
 @BOOK.add(
     """SELECT o.o_orderkey, e.event_id FROM (SELECT o_orderkey, o_custkey AS user_id, o_orderkey * 3 AS t FROM orders) o
     ASOF LEFT JOIN (SELECT user_id, event_id, event_id AS t FROM events) e ON e.user_id = o.user_id AND e.t <= o.t"""
 )
-def as_of_join_whole(spark, sf_dir):
+def as_of_join(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") * 3).alias("t"))
     events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("t"))
     return frame.as_of(orders, events, "user_id", "t", "event_id").select("o_orderkey", "event_id")

@@ -139,3 +139,18 @@ def row_index(spark, sf_dir):
 @BOOK.add("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 250")
 def limit_offset(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").offset(250).limit(100)
+
+
+@BOOK.add("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey DESC LIMIT 100")
+def sort_toggled(spark, sf_dir):
+    """Keys as clicks make them: a second click on a key turns it, keys of columns that are gone fall away."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    keys = order.toggled(order.toggled(order.toggled([("gone", True)], "o_orderpriority"), "o_orderkey"), "o_orderkey")
+    return order.head(orders, order.valid(keys, orders.columns), 100)
+
+
+@BOOK.add("SELECT count(*) AS _row, max(o_orderkey) AS o_orderkey FROM orders")
+def last_row(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    rows = order.with_row_index(orders, [("o_orderkey", True)])
+    return rows.filter(F.col("_row") == order.resolve_row(-1, orders.count()))

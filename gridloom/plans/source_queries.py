@@ -81,3 +81,24 @@ def all_as_text(spark, sf_dir):
 def table_status(spark, sf_dir):
     table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
     return tables.status(spark, "lineitem")
+
+
+@BOOK.add(PART)
+def explicit_format(spark, sf_dir):
+    """A format that the path doesn't tell, both ways."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    path = files.save(part, f"{shared_folder(spark)}/part-{uuid.uuid4().hex}.dat", format="parquet")
+    return files.load(spark, path, format="parquet")
+
+
+@BOOK.add("SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1")
+def file_as_table(spark, sf_dir):
+    path = files.save(table(spark, sf_dir, "supplier"), f"{shared_folder(spark)}/supplier-{uuid.uuid4().hex}.csv")
+    files.load_as_table(spark, path, "suppliers_of_file")
+    return tables.fetch_query(spark, "SELECT s_nationkey, count(*) AS n FROM suppliers_of_file GROUP BY 1")
+
+
+@BOOK.add("""SELECT column_name AS "column" FROM (DESCRIBE events)""")
+def described_columns(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("described_events")
+    return spark.createDataFrame([(c,) for c in tables.describe(spark, "described_events")], "column string")

@@ -101,3 +101,24 @@ def code_in_conversations(spark, sf_dir):
     said = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     prose, found = chatcode.split_reply(F.col("text"))
     return said.select("conv_id", "turn", chatcode.extract_code(F.col("text"), sql_mode=True).alias("code"), prose.alias("prose"), F.size(found).alias("n"))
+
+
+CUSTOMER_TEXTS = "SELECT CAST(floor((c_custkey - 1) / 100) AS BIGINT) AS id, row_number() OVER (PARTITION BY floor((c_custkey - 1) / 100) ORDER BY c_custkey) - 1 AS n, c_custkey, c_name FROM customer"
+
+
+def _customer_texts(spark, sf_dir, header):
+    """A text for each hundred customers."""
+    rows = table(spark, sf_dir, "customer").withColumn("part", F.floor((F.col("c_custkey") - 1) / 100))
+    return _texts(rows, "part", "c_custkey", F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name"), header)
+
+
+@BOOK.add(f"SELECT id, CAST(n AS INTEGER) AS n, CAST(c_custkey AS VARCHAR) || chr(9) || c_name AS line FROM ({CUSTOMER_TEXTS})")
+def titled_texts(spark, sf_dir):
+    """A title line above a table goes."""
+    return texttable.lines_of(_customer_texts(spark, sf_dir, "Customers by number")).select("id", F.col("n").cast("int").alias("n"), "line")
+
+
+@BOOK.add(f"SELECT id, CAST(n AS INTEGER) AS row_no, CAST(c_custkey AS VARCHAR) || ' | ' || CASE WHEN length(c_name) > 12 THEN c_name[:9] || '...' ELSE c_name END AS line FROM ({CUSTOMER_TEXTS}) WHERE n < 5")
+def text_previews(spark, sf_dir):
+    rows = texttable.rows_of(_customer_texts(spark, sf_dir, "Customers by number"))
+    return texttable.preview(rows.withColumnRenamed("n", "row_no")).select("id", F.col("row_no").cast("int").alias("row_no"), "line")

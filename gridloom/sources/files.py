@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,9 +127,19 @@ def save(df: DataFrame, path: str, format: str | None = None, mode: str = "overw
     return path
 
 
+def _moved(system, source, target) -> bool:
+    """Rename by a Hadoop file system; some say no, others raise."""
+    try:
+        return system.rename(source, target)
+    except Py4JJavaError:
+        return False
+
+
 def save_over_source(df: DataFrame, path: str, format: str | None = None) -> str:
     """Replace the files that ``df`` may itself be read from: written beside them first, then swapped by renaming."""
     spark = df.sparkSession
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
     staging = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     kind = format or extension(path)
     if kind in ("feather", "ipc", "arrow"):
@@ -143,7 +154,10 @@ def save_over_source(df: DataFrame, path: str, format: str | None = None) -> str
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     system = path_of(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     old = path_of(f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
-    system.rename(path_of(path), old)
-    system.rename(path_of(staging), path_of(path))
+    if not _moved(system, path_of(path), old):
+        raise OSError(f"{path} could not be moved aside; the new rows are in {staging}")
+    if not _moved(system, path_of(staging), path_of(path)):
+        back = _moved(system, old, path_of(path))
+        raise OSError(f"{staging} could not take the place of {path}; the old rows are in {path if back else old.toString()}")
     system.delete(old, True)
     return path

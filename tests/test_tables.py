@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.types import extraction_advice
 from gridloom.operators import edit, frame, order, profile, search, stages, texttable
+from gridloom.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -262,3 +263,40 @@ def test_split_rows_are_read_from_texts_of_bounded_size(spark, monkeypatch):
     assert sorted((r.rank, r.name, r.nation) for r in got) == sorted((str(r.s_suppkey), r.s_name, str(r.s_nationkey)) for r in want)
     lines = [r.text.count("\n") for r in texts[0].collect()]
     assert len(lines) == -(-len(want) // 100) and max(lines) <= 200
+
+
+def test_typed_edits_convert_only_what_does_not_fit(spark):
+    rows = spark.createDataFrame([(1, 1.5, 15, "x"), (2, 2.75, 27, "y")], "_row long, f double, i long, t string")
+    of = lambda column, value: [tuple(r) for r in edit.edit_cell(rows.select("_row", column), 1, column, value, convert_column=True).orderBy("_row").collect()]
+    assert of("f", "5") == [(1, 5.0), (2, 2.75)] and of("i", "1") == [(1, 1), (2, 27)] and of("i", "2.5") == [(1, 2.5), (2, 27.0)]
+    assert of("i", "word") == [(1, "word"), (2, "27")] and of("t", "7") == [(1, "7"), (2, "y")]
+
+
+def test_names_with_tabs_and_breaks_are_refused():
+    assert all(edit.name_error(f"a{c}b", []) for c in "\t\n\r\f\v .") and edit.name_error("a_b", []) is None
+
+
+def test_a_failed_swap_keeps_the_source(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/kept.parquet"
+    files.save(spark.range(5), path)
+    blocked = tmp_path / "gone"
+    with pytest.raises(OSError):
+        files.save_over_source(spark.range(3), f"{blocked}/missing.parquet")
+    files.save_over_source(files.load(spark, path).filter("id > 1"), path)
+    assert sorted(r.id for r in files.load(spark, path).collect()) == [2, 3, 4]
+
+
+def test_settled_tables_are_deleted(spark):
+    import os
+
+    from gridloom import scratch
+
+    held = scratch.settle(spark.range(3), "gone")
+    folder = held.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert os.path.exists(folder) and scratch.clean(spark) > 0 and not os.path.exists(folder)
+
+
+def test_untracked_steps_run_nothing(spark):
+    stage = stages.Stage("s", spark.range(3))
+    out = stage.apply(lambda df: df.withColumn("bad", F.raise_error(F.lit("ran"))), track=False)
+    assert out.columns == ["id", "bad"] and stage.steps[0].input_fp == ""
