@@ -178,7 +178,7 @@ def test_texts_of_a_node_meet_past_its_unlike_first(spark):
     df = spark.createDataFrame(rows, "nid long, sig binary, labels array<long>")
     state = df.select("nid", F.col("nid").alias("root"), F.lit(False).alias("done"))
     settings = ngram_join.Settings()
-    got = {(r.a, r.b) for r in ngram_join.likely(ngram_join.ties(ngram_join.trie_members(df, settings), state, [12, 8, 4], settings), df, settings).collect()}
+    got = {(r.a, r.b) for r in ngram_join.likely(ngram_join.ties(ngram_join.trie_members(df, settings), state, [12, 8, 4], settings.beside), df, settings).collect()}
     assert got == {(g * 10 + 2, g * 10 + 1) for g in range(1, 41)}
 
 
