@@ -11,7 +11,6 @@ and text, whatever their names, are not looked at. An empty table gives no piece
 
 from __future__ import annotations
 
-import os
 import re
 import zlib
 from array import array
@@ -44,49 +43,44 @@ class Settings:
 
 
 class Encoder:
-    """Ids of texts by ``tokenizers`` as little-endian uint16 bytes.
+    """Ids of texts as little-endian uint16 bytes: those that ``tokenizers`` gives with this vocabulary, made by ``tiktoken``.
 
     In this vocabulary's rule for cutting texts, a cut always stands before a space that a non-space follows, so a text can be encoded
-    word by word, and words that were encoded before are remembered. Texts with other runs of spaces, or with the special token's
-    string, are encoded whole."""
+    word by word and words be remembered. Texts with other runs of spaces, or with the special token's string, are encoded whole."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        import base64
 
-        self.coding = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.coding.get_added_tokens_decoder().values()]
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.special = "<|endoftext|>"
+        self.coding = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={self.special: 50256})
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.coding.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> bytes:
+        return array("H", self.coding.encode_ordinary(text)).tobytes()
+
+    def _one(self, text: str) -> bytes:
+        if self.special in text or _ODD_SPACE.search(text) is not None:
+            return array("H", self.coding.encode(text, allowed_special="all")).tobytes()
+        known = self.known
+        head, *words = text.split(" ")
+        got = list(map(known.get, words))
+        if None in got:
+            for k, word in enumerate(words):
+                if got[k] is None:
+                    got[k] = known.get(word) or self._ids(" " + word)
+                    if len(word) <= 64:
+                        known[word] = got[k]
+        return self._ids(head) + b"".join(got)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, whole, heads, held, new = self.known, [], [], [], {}
-        for text in texts:
-            if _ODD_SPACE.search(text) is not None or any(t in text for t in self.special):
-                whole.append(text)
-                held.append(None)
-                continue
-            head, *words = text.split(" ")
-            got = list(map(known.get, words))
-            if None in got:
-                new.update([(w, None) for w, ids in zip(words, got) if ids is None])
-            heads.append(head)
-            held.append((words, got))
-        new = dict(zip(new, self._ids([" " + w for w in new])))
-        rest, head = iter(self._ids(whole)), iter(self._ids(heads))
-        out = []
-        for one in held:
-            if one is None:
-                out.append(next(rest))
-            else:
-                words, got = one
-                out.append(next(head) + b"".join([new[w] if ids is None else ids for w, ids in zip(words, got)] if None in got else got))
-        known.update([(w, ids) for w, ids in new.items() if len(w) <= 64])
-        return out
+        return [self._one(text) for text in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -96,7 +90,7 @@ def encoder(path: str | None) -> Encoder:
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("byte_bpe_50k.json")
+        path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
