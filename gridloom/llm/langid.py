@@ -175,6 +175,8 @@ def drawn(docs: DataFrame, learn: Column, settings: Settings) -> DataFrame:
     langs = sizes.count()
     each = max(1, settings.sample // max(langs, 1))
     near = F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(4.0 * each + 100) / F.col("size"))
+    # one row a language: as a table to send along where they are counted to be few, so texts are not shuffled by language for it
+    sizes = F.broadcast(sizes) if langs <= settings.sample else sizes
     some = rows.join(sizes, "lang").filter(F.col("place") <= near).dropDuplicates(["lang", "place"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
     return some.withColumn("rank", rank).filter(F.col("rank") <= each).orderBy("place").limit(settings.sample).select("lang", "text")
