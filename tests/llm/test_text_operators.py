@@ -272,6 +272,14 @@ def test_language_scores_equal_plain_loops(spark, tiny, monkeypatch):
         assert (found[0] == found[1]).all()
 
 
+def test_more_languages_than_the_sample_are_drawn_without_a_broadcast(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"lang {i % 5}") for i in range(50)], "doc_id long, text string, lang string")
+    few, many = (langid.drawn(df, F.lit(True), langid.Settings(sample=n)) for n in (3, 5))
+    assert "ResolvedHint" not in few._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in many._jdf.queryExecution().analyzed().toString()
+    assert few.count() == 3 and sorted(r.lang for r in many.collect()) == [f"lang {k}" for k in range(5)]
+
+
 def test_languages_are_drawn_evenly_and_within_the_bound(spark):
     rows = [(None, f"text {k}", "en") for k in range(900)] + [(None, "the same", "en")] * 500 + [(7, f"der text {k}", "de") for k in range(300)] + [(1, "un texte", "fr")] * 40
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
