@@ -134,3 +134,24 @@ def branched_sheets(spark, sf_dir):
     book.apply("rich", "SELECT * FROM {df} WHERE c_acctbal > 5000", track=False)
     found = [book.apply(name, lambda df, name=name: df.groupBy("c_mktsegment").agg(F.count("*").alias("n")).select(F.lit(name).alias("sheet"), "c_mktsegment", "n"), track=False) for name in ("rich", "all")]
     return found[0].unionByName(found[1])
+
+
+@BOOK.add("SELECT c_mktsegment, count(*) AS n, 1 AS sheets, 0 AS branches FROM customer GROUP BY 1")
+def removed_sheet(spark, sf_dir):
+    """A branch that is removed leaves its parent as it was, with no branch."""
+    book = stages.Workbook(spark)
+    book.add("kept", table(spark, sf_dir, "customer"))
+    book.branch("kept", "dropped")
+    book.apply("dropped", "SELECT * FROM {df} WHERE c_acctbal > 5000", track=False)
+    book.remove("dropped")
+    counted = book.apply("kept", lambda df: df.groupBy("c_mktsegment").agg(F.count("*").alias("n")), "count by segment", track=False)
+    return counted.withColumns({"sheets": F.lit(len(book.stages)), "branches": F.lit(len(book.get("kept").branches))})
+
+
+@BOOK.add("SELECT o_orderpriority, sum(o_totalprice) > 0 AS positive, 'positive' AS added, 'o_totalprice' AS removed FROM orders GROUP BY 1")
+def changed_columns(spark, sf_dir):
+    """What a step adds to the columns and takes from them, beside its rows."""
+    before = table(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice")
+    after = before.groupBy("o_orderpriority").agg((F.sum("o_totalprice") > 0).alias("positive"))
+    change = stages.schema_change(before, after)
+    return after.withColumns({kind: F.lit(",".join(change[kind])) for kind in ("added", "removed")})

@@ -98,6 +98,22 @@ def file_as_table(spark, sf_dir):
     return tables.fetch_query(spark, "SELECT s_nationkey, count(*) AS n FROM suppliers_of_file GROUP BY 1")
 
 
+@BOOK.add("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def parquet_as_table(spark, sf_dir):
+    files.load_as_table(spark, f"{sf_dir}/customer.parquet", "customers_of_file")
+    return tables.fetch_query(spark, "SELECT c_mktsegment, count(*) AS n FROM customers_of_file GROUP BY 1")
+
+
+@BOOK.add("SELECT p_size, count(*) AS n, 'File does not exist' AS missing FROM part GROUP BY 1")
+def checked_source(spark, sf_dir):
+    """A source that passes the checks before it is loaded, beside one that doesn't exist."""
+    path = files.save(table(spark, sf_dir, "part"), f"{shared_folder(spark)}/part-{uuid.uuid4().hex}.parquet")
+    if why := files.check(spark, path):
+        raise ValueError(why)
+    missing = files.check(spark, f"{shared_folder(spark)}/none-{uuid.uuid4().hex}.parquet")
+    return files.load(spark, path).groupBy("p_size").agg(F.count("*").alias("n")).withColumn("missing", F.lit(missing))
+
+
 @BOOK.add("""SELECT column_name AS "column" FROM (DESCRIBE events)""")
 def described_columns(spark, sf_dir):
     table(spark, sf_dir, "events").createOrReplaceTempView("described_events")
