@@ -1,10 +1,10 @@
-"""The ten operators as registered queries, each over its whole table."""
+"""The thirteen operators as registered queries, each over its whole table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import ann, chat, fingerprint, langid, mixing, ngram_join, packing, quality, secrets, urlrules
+from gridloom.llm import ann, chat, decontam, fingerprint, langid, mixing, ngram_join, packing, quality, repair, secrets, trie, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,5 +52,17 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_fingerprints, op3_mixing, op4_chat, op5_language, op6_secrets, op7_packing, op8_quality, op9_ngram_join, op10_url_rules)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(_table(spark, sf_dir, "conversations"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_fingerprints, op3_mixing, op4_chat, op5_language, op6_secrets, op7_packing, op8_quality, op9_ngram_join, op10_url_rules, op11_repair, op12_decontamination, op13_trie)}
 ORACLES: dict[str, str] = {}
