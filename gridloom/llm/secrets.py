@@ -47,11 +47,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 1, re.ASCII, 0, 20, r"AKIA[A-Z0-9]{16}"),
     Rule("hex", r"[0-9a-f]{24,}", 1, re.ASCII, 0, 24, r"[0-9a-f]{24}"),
 )
-#: The method's own rules come behind them. A private key reaches from its header to its end mark if only header lines and base64 stand
-#: between; without an end mark it is the header and the long base64 runs that follow, so that a mere mention hides no other text.
+#: The method's own rules come behind them. A private key reaches from its header to its end mark if only header lines and base64 runs
+#: of 32 characters and more stand between, and a shorter one at most before the mark; else it is the header and the long runs that follow,
+#: so that a mere mention hides no other text.
 RULES = (
     *BASE,
-    Rule("pem", rf"{_PEM}(?:(?:\s++(?:[A-Za-z][A-Za-z-]*+: [A-Za-z0-9,-]++(?=[\r\n])|[A-Za-z0-9+/=]++))*+\s*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s++[A-Za-z0-9+/=]{{32,}}+)*+)", 2, re.ASCII, 0, 1, r"PRIVATE KEY-----"),
+    Rule("pem", rf"{_PEM}(?:(?:\s++(?:[A-Za-z][A-Za-z-]*+: [A-Za-z0-9,-]++(?=[\r\n])|[A-Za-z0-9+/=]{{32,}}+))*+(?:\s++[A-Za-z0-9+/=]{{1,31}}+)?+\s*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s++[A-Za-z0-9+/=]{{32,}}+)*+)", 3, re.ASCII, 0, 1, r"PRIVATE KEY-----"),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 2, re.ASCII, 0, 1, r"eyJ[A-Za-z0-9_-]{8}"),
 )
 LEDGER = "blob string, scanned array<string>, spans array<struct<rule:string,start:bigint,stop:bigint>>"
