@@ -196,11 +196,14 @@ def packed(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): one row for each piece of a document.
 
-    The ids are written once to the shared folder, so that finding the ranges doesn't encode again; doc_id breaks ties of the key, so
-    copies spread over ranges."""
-    ids = settle(encoded(docs, settings), "packing-ids")
+    The ids are written once to the shared folder, so that finding the ranges doesn't encode again, with a number for each row; it breaks
+    ties of key and doc_id, so copies spread over ranges even where they share a doc_id or have none."""
+    ids = settle(encoded(docs, settings).withColumn("row", F.monotonically_increasing_id()), "packing-ids")
     size = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // settings.range_bytes))
-    spread = F.xxhash64("doc_id", F.crc32("ids"))  # rows of one key and doc_id, as those without any, still differ
-    ordered = ids.repartitionByRange(parts, "key", "doc_id", spread).sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
-    return packed(ordered, settings)
+    return packed(laid_out(ids, parts), settings)
+
+
+def laid_out(ids: DataFrame, parts: int) -> DataFrame:
+    """(doc_id, ids) in the order of (key, doc_id, row), in ``parts`` ranges."""
+    return ids.repartitionByRange(parts, "key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "row").select("doc_id", "ids")
