@@ -49,7 +49,7 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: Words of addresses that a training corpus leaves out, and where a glob looks for them.
+#: A choice of words of addresses that a training corpus leaves out, and where a glob looks for them; ``read_rules`` takes others.
 WORDS = (
     "spam cheap-pills casino malware poker jackpot slots betting bingo payday-loan viagra cialis replica-watch escort xxx porn adult-dating "
     "hookup warez keygen crack-download torrent phishing clickbait free-money work-from-home crypto-giveaway forex-signals link-farm "
@@ -179,22 +179,25 @@ def canonical(url: str) -> tuple[str, str]:
     return (name if port and (not number or number.isdecimal()) else host).rstrip("."), rest[cut:]
 
 
-def fits(url: Column, host: Column, path: Column, rules: tuple[Rule, ...], globs: tuple[Rule, ...]) -> Column:
-    """Numbers of all rules that fit, then those of the globs behind them, ascending, as an array of ints."""
+def decided(url: Column, host: Column, path: Column, rules: tuple[Rule, ...], globs: tuple[Rule, ...]) -> Column:
+    """(rule, verdict, globs): the name and verdict of the longest rule that fits (of equal ones the first), null without; and the names of
+    the globs that fit, comma-joined, null without. The plan holds no rule, so any number of them will do."""
 
     def coded(host: str, rest: str) -> np.ndarray:
         out = np.frombuffer(f".{host}\0{rest}".encode("utf-32-le", "surrogatepass"), np.uint32).copy()
         out[len(host) + 1] = MARK
         return out
 
-    @F.pandas_udf("array<int>")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("rule string, verdict string, globs string")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         plain, wild = compile_rules(rules), compile_rules(globs)
+        weight = np.array([-len(r.name) for r in rules])
         for urls, hosts, paths in parts:
-            by_host = plain.fits(coded(h, p) for h, p in zip(hosts, paths))
-            by_glob = wild.fits(coded(*canonical(u)) for u in urls)
-            out = [np.concatenate([a, b + len(rules)]).astype(np.int32) for a, b in zip(by_host, by_glob)]
-            yield pd.Series(out, index=hosts.index, dtype=object)
+            best = [int(k[np.argmin(weight[k])]) if len(k) else None for k in plain.fits(coded(h, p) for h, p in zip(hosts, paths))]
+            wide = [",".join(globs[k].name for k in ks) or None for ks in wild.fits(coded(*canonical(u)) for u in urls)]
+            names = [None if k is None else rules[k].name for k in best]
+            verdicts = [None if k is None else rules[k].verdict for k in best]
+            yield pd.DataFrame({"rule": names, "verdict": verdicts, "globs": wide}, index=hosts.index, dtype=object)
 
     return run(F.coalesce(url, F.lit("")), host, path)
 
@@ -203,13 +206,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, globs: tuple[Rule,
     """(page_id, host, path, rule, verdict, globs): the longest fitting rule decides (of equal ones the first), else the globs."""
     host, path = host_path(F.col("url"))
     parts = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    found = parts.withColumn("fit", fits(F.col("url"), F.col("host"), F.col("path"), rules, globs))
-    by_length = sorted(range(len(rules)), key=lambda k: (-len(rules[k].name), k))
-    rule, verdict = F.lit(None).cast("string"), F.when(F.exists("fit", lambda k: k >= len(rules)), "block").otherwise("allow")
-    for k in reversed(by_length):
-        hit = F.array_contains("fit", k)
-        rule = F.when(hit, rules[k].name).otherwise(rule)
-        verdict = F.when(hit, rules[k].verdict).otherwise(verdict)
-    names = F.array(*[F.lit(g.name) for g in globs])
-    hits = F.transform(F.filter("fit", lambda k: k >= len(rules)), lambda k: F.get(names, k - len(rules)))
-    return found.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.array_join(hits, ",").alias("globs"))
+    found = parts.withColumn("by", decided(F.col("url"), F.col("host"), F.col("path"), rules, globs))
+    verdict = F.coalesce("by.verdict", F.when(F.col("by.globs").isNotNull(), "block").otherwise("allow"))
+    return found.select("page_id", "host", "path", F.col("by.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("by.globs", F.lit("")).alias("globs"))
