@@ -46,13 +46,16 @@ def test_nearest_with_small_leaves_needs_the_graph(spark):
     rows = [(i, [float(x) for x in rng.standard_normal(12)]) for i in range(1500)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     want = nearest_by_force([(i, np.float32(v).tolist()) for i, v in rows])
-    got = ann.nearest(df, F.col("vec_id") % 50 == 0, 5, ann.Settings(leaf=128, orders=2, degree=12, rounds=4)).collect()
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, 5, ann.Settings(leaf=128, orders=2, degree=12)).collect()
     found = {(r.query_id, r.vec_id) for r in got}
     assert sum((q, j) in found for q, near in want.items() for _, j in near) / (5 * len(want)) > 0.9
 
 
 def test_nearest_under_the_registered_settings_needs_the_graph(spark):
-    table = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").filter("vec_id < 5000")
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((250, 32))
+    points = centres[rng.integers(0, 250, 5000)] + 1.2 * rng.standard_normal((5000, 32))
+    table = settle(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(points)], "vec_id long, embedding array<float>"), "test-vectors")
     want = {(q, j) for q, near in nearest_by_force([(r.vec_id, r.embedding) for r in table.collect()]).items() for _, j in near}
     assert table.count() > 15 * ann.Settings().leaf
     nodes, _ = ann.nodes_of(ann.usable(table), 6)
@@ -62,6 +65,12 @@ def test_nearest_under_the_registered_settings_needs_the_graph(spark):
     assert len(want & found) / len(want) > 0.9
 
 
+def test_a_graph_that_never_settles_is_no_answer(spark):
+    table = spark.createDataFrame([(k, [float(k % 17), float(k % 13), 1.0]) for k in range(300)], "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="still changes"):
+        ann.digest(table, ann.Settings(leaf=8, orders=1, rounds=1, change=-1.0))
+
+
 def test_nearest_of_odd_vectors(spark):
     kind = "vec_id long, embedding array<float>, label int, node long, score double"
     same = [1.0, 2.0, 3.0]
@@ -231,6 +240,16 @@ def test_encoder_equals_the_tokenizer(tokenizer, spark, tiny):
         assert np.frombuffer(ids, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_equal_rows_spread_over_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ids = settle(packing.encoded(spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words").alias("text"))).withColumn("row", F.monotonically_increasing_id()), "test-ids")
+        sizes = [r["count"] for r in packing.laid_out(ids, 8).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) < 1000
+
+
 def check_pieces(rows, docs, tokenizer, length=2048):
     """docs: list of (doc_id, text), repeated rows too."""
     ids = {d: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for d, t in docs}

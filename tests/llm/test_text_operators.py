@@ -114,11 +114,14 @@ def test_a_mere_mention_of_a_key_hides_no_text(spark):
     begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
     prose = "a line of prose, and then some more of it. " * 1200
     texts = [f"see {begin} {prose}", f"see {begin} {prose} {end} done", f"key:\n{begin}\n{body}\nMII=\n{end}\nafter", f"cut {begin}\n{body}\nthe text goes on.", f"{begin} " * 3000, f"{begin} {body.replace(chr(10), ' ')} {end}."]
+    words = "plain words of a longer text " * 25
+    texts += [f"see {begin} as the header and then comes {words}until {end} ok", f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}\n{end}"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert out[0] == f"see [SECRET] {prose}" and out[1] == f"see [SECRET] {prose} {end} done"
     assert out[2] == "key:\n[SECRET]\nafter" and out[3] == "cut [SECRET]\nthe text goes on." and out[5] == "[SECRET]."
     assert out[4] == "[SECRET] " * 3000
+    assert out[6] == f"see [SECRET] as the header and then comes {words}until {end} ok" and out[7] == "[SECRET]"
 
 
 def test_earlier_versions_share_the_ledger(spark):
@@ -131,11 +134,11 @@ def test_earlier_versions_share_the_ledger(spark):
 
 
 def test_secrets_of_hostile_long_texts_take_linear_time(spark):
-    texts = ["token" + " " * 1_000_000, "token " * 200_000, "eyJ" * 300_000, "a" * 1_000_000, "-----BEGIN PRIVATE KEY-----\n" + "A" * 1_000_000, "token=abcdef1 " * 5_000]
+    texts = ["token" + " " * 1_000_000, "token " * 200_000, "eyJ" * 300_000, "a" * 1_000_000, "-----BEGIN PRIVATE KEY-----\n" + "A" * 1_000_000, "-----BEGIN PRIVATE KEY-----" + " A" * 400_000, "token=abcdef1 " * 5_000]
     began = time.perf_counter()
     rows = {r.doc_id: r for r in secrets.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert time.perf_counter() - began < 60
-    assert rows[3].n_hex == 1 and rows[5].n_assign == 5_000 and rows[0].spans == rows[1].spans == ""
+    assert rows[3].n_hex == 1 and rows[6].n_assign == 5_000 and rows[0].spans == rows[1].spans == ""
 
 
 def test_redaction(spark):
@@ -201,6 +204,15 @@ def test_rules_of_a_table_and_urls_of_any_length(spark):
     assert out[50].verdict == "block" and out[51].verdict == "allow" and (out[52].verdict, out[52].rule) == ("allow", "a.org/x")
 
 
+def test_as_many_host_rules_as_a_table_may_have(spark):
+    rules = tuple(urlrules.Rule("block" if k % 2 else "allow", f"h{k}.com", f"/{k % 7}") for k in range(100_000))
+    urls = [f"http://www.h{k}.com/{k % 7}/x" for k in range(0, 100_000, 9_999)] + ["http://h1.com/2", None]
+    out = {r.page_id: (r.rule, r.verdict) for r in urlrules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, ()).collect()}
+    for n, k in enumerate(range(0, 100_000, 9_999)):
+        assert out[n] == (rules[k].name, rules[k].verdict)
+    assert out[11] == out[12] == (None, "allow")
+
+
 def test_automaton_over_many_words():
     rng = random.Random(3)
     patterns = ["".join(rng.choices("ab*", k=rng.randrange(1, 12))) for _ in range(60)]
