@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import ranks
+
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 
 
@@ -68,14 +72,29 @@ def first_last(column: str, order: str) -> tuple[Column, Column]:
 
 
 def quantile_nearest(df: DataFrame, by: list[str], column: str, q: float) -> DataFrame:
-    """The value at the rounded rank q * (n - 1) among the non-null values of each group: from counts of values, so that equal values are
-    one row of the window."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__k"))
-    group = Window.partitionBy(*by)
-    up = counts.withColumn("__end", F.sum("__k").over(group.orderBy(column))).withColumn("__n", F.sum("__k").over(group))
-    rank = F.floor(F.lit(q) * (F.col("__n") - 1) + 0.5)
-    hit = up.filter((F.col("__end") > rank) & (F.col("__end") - F.col("__k") <= rank))
-    return hit.select(*by, F.col(column).alias("quantile"))
+    """The value at the rounded rank q * (n - 1) among the non-null values of each group."""
+    return ranks.quantiles(df, by, [column], q).select(*by, "quantile")
+
+
+def aggregate(df: DataFrame, by: list[str], plain: list[Column], medians: dict[str, str] | None = None, distinct: dict[str, str] | None = None) -> DataFrame:
+    """(by, ...): the aggregates ``plain``, exact medians and exact numbers of distinct values as {name: column}. No group's values meet in
+    one task: medians are narrowed down, distinct values are spread by value before they are counted."""
+    out = df.groupBy(*by).agg(*plain)
+    if medians:
+        found = ranks.quantiles(df, by, list(dict.fromkeys(medians.values())), 0.5, "linear")
+        wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col("quantile"))).alias(name) for name, c in medians.items()])
+        out = _left_by(out, wide, by)
+    for name, c in (distinct or {}).items():
+        counts = df.filter(F.col(c).isNotNull()).select(*by, F.col(c).alias("__v")).distinct().groupBy(*by).agg(F.count("*").alias(name))
+        out = _left_by(out, counts, by).withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out
+
+
+def _left_by(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Null groups meet."""
+    renamed = right.select(*[F.col(b).alias(f"__r_{b}") for b in by], *[c for c in right.columns if c not in by])
+    same = functools.reduce(Column.__and__, [left[b].eqNullSafe(renamed[f"__r_{b}"]) for b in by]) if by else F.lit(True)
+    return left.join(renamed, same, "left").drop(*[f"__r_{b}" for b in by])
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:

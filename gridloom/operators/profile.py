@@ -1,5 +1,5 @@
-"""Profile of a table (D01-D10): one aggregation for all columns, one shuffle for all counts of text values; exact medians take three
-more narrow scans, and no state that grows with the distinct values."""
+"""Profile of a table (D01-D10): one aggregation for all columns; exact medians and exact distinct counts of all columns come from one narrow
+shuffle each, with no state that grows with a column's values."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.types import friendly
+from gridloom.operators import ranks
 from gridloom.operators.order import Keys, head, tail
+from gridloom.scratch import settle
 
 #: Text columns with more distinct values have no counts.
 CATEGORIES = 25
@@ -18,29 +20,53 @@ def percent(part: Column, rows: Column) -> Column:
     return F.when(rows == 0, 0.0).otherwise(F.round(100 * part / rows, 2))
 
 
-#: Half the width, in ranks, of the stretch around the middle that is counted value by value; twice the error of the first guess.
-NEAR, ACCURACY = 2e-3, 1_000
+def medians(df: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """Exact medians of numeric columns, all at once; one row a column reaches the driver."""
+    found = {r["column"]: r["quantile"] for r in ranks.quantiles(df, [], names, 0.5, "linear").collect()} if names else {}
+    return {c: found.get(c) for c in names}
 
 
-def medians(df: DataFrame, names: list[str]) -> dict[str, float | None]:
-    """Exact medians of numeric columns without gathering their values: an approximate stretch around the middle, the count below it, then
-    counts of the values within it, a small part of the rows, from which the middle ranks are read."""
+#: Characters of a value that travel with its hash.
+HEAD = 64
+
+
+def _hashes(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """(place, h1, h2, ...) for each value of the text columns ``names``: 128 bits stand for it; ``more`` may use ``value``."""
+    pairs = [F.struct(F.lit(k).alias("place"), F.xxhash64(F.lit(1), f"`{c}`").alias("h1"), F.xxhash64(F.lit(2), f"`{c}`").alias("h2"), F.col(f"`{c}`").alias("value")) for k, c in enumerate(names)]
+    return df.select(F.inline(F.array(*pairs))).filter("value is not null").select("place", "h1", "h2", *more)
+
+
+def text_facts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(column, distinct, value, n, length) of the text columns: exact number of distinct values, the most common one (of equally common ones
+    the least), its count and length.
+
+    Values are counted by hashes with their first ``HEAD`` characters; whole values are read again only where the winner is longer, and meet
+    in a minimum a column. A column of nulls has 0 distinct values."""
+    if names is None:
+        names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    kind = "column string, distinct bigint, value string, n bigint, length int"
+    if not names:
+        return df.sparkSession.createDataFrame([], kind)
+    counts = settle(_hashes(df, names, F.substring("value", 1, HEAD).alias("head")).groupBy("place", "h1", "h2").agg(F.count("*").alias("n"), F.min("head").alias("head")), "text-counts")
+    tops = settle(counts.groupBy("place").agg(F.count("*").alias("distinct"), F.min(F.struct((-F.col("n")).alias("m"), "head")).alias("best")), "text-tops")
+    cut = tops.filter(F.length("best.head") == HEAD)
+    texts = None
+    if not cut.isEmpty():
+        best = cut.select("place", F.col("best.m").alias("m"), F.col("best.head").alias("best_head"))
+        winners = settle(counts.join(best, "place").filter("n = -m and head = best_head").select("place", "h1", "h2"), "text-winners")
+        texts = _hashes(df, names, F.col("value")).join(winners, ["place", "h1", "h2"]).groupBy("place").agg(F.min("value").alias("text"))
+    every = df.sparkSession.createDataFrame(list(enumerate(names)), "place int, column string").join(tops, "place", "left")
+    every = every.join(texts, "place", "left") if texts is not None else every.withColumn("text", F.lit(None).cast("string"))
+    value = F.coalesce("text", "best.head")
+    return every.select("column", F.coalesce("distinct", F.lit(0).cast("long")).alias("distinct"), value.alias("value"), (-F.col("best.m")).alias("n"), F.length(value).alias("length"))
+
+
+def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Exact numbers of distinct values of text columns: one shuffle of hashes for all of them."""
     if not names:
         return {}
-    d = {c: F.col(f"`{c}`").cast("double") for c in names}
-    guess = df.agg(*[F.percentile_approx(d[c], [0.5 - NEAR, 0.5 + NEAR], ACCURACY).alias(f"q{k}") for k, c in enumerate(names)]).first()
-    known = {c: guess[f"q{k}"] for k, c in enumerate(names) if guess[f"q{k}"] is not None}
-    if not known:
-        return {c: None for c in names}
-    facts = df.agg(*[x for c, (low, _) in known.items() for x in (F.count(d[c]), F.count_if(d[c] < F.lit(low)))]).first()
-    middle = {c: ((facts[2 * k] - 1) // 2 - facts[2 * k + 1], facts[2 * k] // 2 - facts[2 * k + 1]) for k, c in enumerate(known)}  # ranks within the stretch
-    near = F.array(*[F.when((d[c] >= F.lit(low)) & (d[c] <= F.lit(high)), F.struct(F.lit(c).alias("column"), d[c].alias("value"))) for c, (low, high) in known.items()])
-    counts = df.select(F.inline(F.filter(near, lambda x: x.isNotNull()))).groupBy("column", "value").agg(F.count("*").alias("n"))
-    ends = counts.withColumn("end", F.sum("n").over(Window.partitionBy("column").orderBy("value")))
-    ranks = F.coalesce(*[F.when(F.col("column") == c, F.array(*[F.lit(r).cast("bigint") for r in pair])) for c, pair in middle.items()])
-    picked = ends.withColumn("rank", F.explode(ranks)).filter((F.col("end") > F.col("rank")) & (F.col("end") - F.col("n") <= F.col("rank")))
-    found = {r["column"]: r["m"] for r in picked.groupBy("column").agg((F.min("value") * 0.5 + F.max("value") * 0.5).alias("m")).collect()}
-    return {c: found.get(c) for c in names}
+    found = _hashes(df, names).distinct().groupBy("place").count().collect()
+    return {c: 0 for c in names} | {names[r["place"]]: r["count"] for r in found}
 
 
 def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -49,6 +75,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     Numeric columns have n to std (std 0 for one value), text columns distinct. ``exact=False`` takes approximate medians and counts."""
     rows, parts = F.count(F.lit(1)), []
     middle = medians(df, [f.name for f in df.schema.fields if friendly(f.dataType) in ("integer", "float")]) if exact else {}
+    unlike = distinct_counts(df, [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]) if exact else {}
     none = F.lit(None).cast("double")
     for f in df.schema.fields:
         c, kind = F.col(f"`{f.name}`"), friendly(f.dataType)
@@ -60,7 +87,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
             "mean": F.avg(d) if number else none,
             "median": (F.lit(middle[f.name]).cast("double") if exact else F.percentile_approx(d, 0.5)) if number else none,
             "std": F.when(F.count(c) == 1, 0.0).otherwise(F.stddev_samp(d)) if number else none,
-            "distinct": (F.count_distinct(c) if exact else F.approx_count_distinct(c)) if text else F.lit(None).cast("bigint"),
+            "distinct": (F.lit(unlike[f.name]).cast("bigint") if exact else F.approx_count_distinct(c)) if text else F.lit(None).cast("bigint"),
         }
         nulls = F.count_if(c.isNull())
         parts.append(

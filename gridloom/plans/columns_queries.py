@@ -119,8 +119,24 @@ TEXTS = ["o_orderstatus", "o_orderpriority"]
 )
 def profile_text(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(*TEXTS)
-    top = profile.top_value(profile.text_counts(rows))
-    return profile.profile_columns(rows).select("column", "distinct").join(top, "column").select("column", "distinct", "value", "length")
+    return profile.text_facts(rows).select("column", "distinct", "value", "length")
+
+
+LONG = "repeat(lpad(CAST(CAST(floor(o_custkey / 5) AS BIGINT) AS VARCHAR), 10, '0'), 9)"
+
+
+@BOOK.add(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", (SELECT count(DISTINCT {e}) FROM orders) AS "distinct", value, n, CAST(length(value) AS INTEGER) AS length
+        FROM (SELECT {e} AS value, count(*) AS n FROM orders WHERE {e} IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 1)"""
+        for c, e in (("long_customer", LONG), ("own", "'x' || CAST(o_orderkey AS VARCHAR)"), ("status", "nullif(o_orderstatus, 'O')"))
+    )
+)
+def top_texts(spark, sf_dir):
+    """Texts longer than what travels with a hash, texts that are all different, and a column with nulls."""
+    customer = F.repeat(F.lpad(F.floor(F.col("o_custkey") / 5).cast("string"), 10, "0"), 9)
+    rows = table(spark, sf_dir, "orders").select(customer.alias("long_customer"), F.concat(F.lit("x"), F.col("o_orderkey").cast("string")).alias("own"), F.nullif("o_orderstatus", F.lit("O")).alias("status"))
+    return profile.text_facts(rows)
 
 
 @BOOK.add(

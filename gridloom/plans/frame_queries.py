@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import sqlcompat
-from gridloom.operators import frame
+from gridloom.operators import frame, ranks
 from gridloom.plans.book import Book, table
 
 BOOK = Book()
@@ -119,10 +119,21 @@ def n_unique(spark, sf_dir):
     median(l_quantity) AS med, round(stddev_samp(l_quantity), 6) AS sd, round(var_samp(l_quantity), 6) AS var, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2"""
 )
 def agg_all(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(
+    plain = [
         F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.max("l_discount").alias("max_disc"), F.min("l_tax").alias("min_tax"), F.count("l_orderkey").alias("n"), F.count("*").alias("len"),
-        F.median("l_quantity").alias("med"), F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), F.round(F.var_samp("l_quantity"), 6).alias("var"), F.count_distinct("l_suppkey").alias("suppliers"),
-    )
+        F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), F.round(F.var_samp("l_quantity"), 6).alias("var"),
+    ]
+    return frame.aggregate(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], plain, {"med": "l_quantity"}, {"suppliers": "l_suppkey"})
+
+
+@BOOK.add(
+    """SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.25), 4) AS low, round(quantile_cont(l_extendedprice, 0.75), 4) AS high FROM lineitem GROUP BY 1"""
+)
+def quartiles(spark, sf_dir):
+    """Interpolated quartiles of many groups."""
+    rows = table(spark, sf_dir, "lineitem")
+    low, high = (ranks.quantiles(rows, ["l_suppkey"], ["l_extendedprice"], q, "linear").select("l_suppkey", F.round("quantile", 4).alias(name)) for q, name in ((0.25, "low"), (0.75, "high")))
+    return low.join(high, "l_suppkey")
 
 
 @BOOK.add("SELECT user_id, arg_min(event_type, event_id) AS first_type, arg_max(event_type, event_id) AS last_type FROM events GROUP BY 1")
