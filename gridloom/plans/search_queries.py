@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom import scratch
 from gridloom.operators import order, search
 from gridloom.plans.book import Book, table
 
@@ -121,9 +122,24 @@ def sort_multi_topk(spark, sf_dir):
 )
 def page_middle(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    indexed = order.with_row_index(orders, [("o_orderpriority", True), ("o_orderkey", True)])
-    total = indexed.count()
-    return order.page(indexed, total // 2, total)
+    stored = order.store(orders, [("o_orderpriority", True), ("o_orderkey", True)], scratch.new_path(spark, "order"), 4096)
+    return stored.page(stored.total // 2)
+
+
+@BOOK.add("SELECT CAST(r AS BIGINT) AS _row, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE o_totalprice BETWEEN 20000 AND 30000")
+def rows_by_key(spark, sf_dir):
+    """The numbered rows of a stretch of the first key, by the ranges that hold it."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    stored = order.store(orders, [("o_totalprice", False), ("o_orderkey", True)], scratch.new_path(spark, "order"), 4096)
+    return stored.around(20000.0, 30000.0)
+
+
+@BOOK.add(f"""SELECT CAST(r AS BIGINT) AS "row", CAST(1 AS INTEGER) AS col, 'B' || CAST(r + 1 AS VARCHAR) AS address, CAST(o_custkey AS VARCHAR) AS value FROM ({ORDERED}) WHERE r BETWEEN 700 AND 900 AND o_custkey % 2 = 0""")
+def find_on_page(spark, sf_dir):
+    """A search of the rows that are in view."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    stored = order.store(orders, [("o_orderkey", True)], scratch.new_path(spark, "order"), 4096)
+    return search.find_cells(stored.between(700, 900).filter("o_custkey % 2 = 0"), "o_custkey", "is_not_null")
 
 
 @BOOK.add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey DESC LIMIT 50")

@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL["folder"]
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses; ``clean`` deletes what is written there."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
