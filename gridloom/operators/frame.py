@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import ranks
+from gridloom.scratch import settle
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti", "cross": "cross"}
 
@@ -97,18 +98,50 @@ def _left_by(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(renamed, same, "left").drop(*[f"__r_{b}" for b in by])
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Each left row with the right's latest ``value`` at or before its time: one union, sorted in each key."""
+def as_of_layout(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """Rows of both sides by ranges of (key, time), so that a key with many rows is cut into several: ``__part`` numbers the ranges in order.
+    At one time right rows come first."""
     names = left.columns
     a = left.select(*names, F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__value"))
-    b = right.select(*[F.col(c) if c in (key, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.lit(0).alias("__side"), F.col(value).alias("__value"))
-    run = Window.partitionBy(key).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("__last", F.last(F.when(F.col("__side") == 0, F.struct("__value")), ignorenulls=True).over(run))
-    return seen.filter("__side = 1").select(*names, F.col("__last.__value").alias(value))
+    b = right.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(*[F.col(c) if c in (key, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.lit(0).alias("__side"), F.col(value).alias("__value"))
+    rows = a.unionByName(b)
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in names], "__value")  # rows of one key and time
+    laid = rows.repartitionByRange(F.asc_nulls_first(key), F.asc_nulls_first(time), "__side", spread)
+    return settle(laid.withColumn("__part", F.spark_partition_id()), "as-of")
 
 
-def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
-    """Rows of ``left`` whose integer ``point`` lies in a right row's [low, high]: an equi-join on buckets of ``width``."""
-    l = left.withColumn("__bucket", F.floor(F.col(point) / width))  # noqa: E741
-    r = right.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return l.join(r, "__bucket").filter(F.col(point).between(F.col(low), F.col(high))).drop("__bucket")
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
+    """Each left row with the right's latest ``value`` at or before its time. Ranges of (key, time) are looked through in their own tasks; the
+    last value of a key that goes on in the next range is carried over by one row a range. A null key or time matches nothing."""
+    names = left.columns
+    rows = as_of_layout(left, right, key, time, value)
+    mine = F.when(F.col("__side") == 0, F.struct("__value"))
+    run = Window.partitionBy("__part", key).orderBy(F.asc_nulls_first(time), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("__last", F.last(mine, ignorenulls=True).over(run))
+    # of each range: its first key asks, its last key gives; of one range the question comes first
+    ends = rows.groupBy("__part").agg(F.min(key).alias("__first"), F.max(key).alias("__end"))
+    given = rows.filter("__side = 0").join(F.broadcast(ends.select("__part", "__end")), "__part").filter(F.col(key) == F.col("__end"))
+    given = given.groupBy("__part").agg(F.max_by(F.struct("__value"), F.col(time)).alias("__gives"))
+    steps = ends.select("__part", F.col("__first").alias("__key"), F.lit(0).alias("__turn"), F.lit(None).cast(given.schema["__gives"].dataType).alias("__gives")).unionByName(
+        ends.join(given, "__part").select("__part", F.col("__end").alias("__key"), F.lit(1).alias("__turn"), "__gives")
+    )
+    earlier = Window.partitionBy("__key").orderBy("__part", "__turn").rowsBetween(Window.unboundedPreceding, -1)  # two rows a range
+    carried = steps.withColumn("__carried", F.last("__gives", ignorenulls=True).over(earlier)).filter("__turn = 0").select("__part", "__key", "__carried")
+    found = seen.filter("__side = 1").join(F.broadcast(carried), "__part", "left")
+    known = F.coalesce(F.col("__last"), F.when(F.col(key) == F.col("__key"), F.col("__carried")))
+    return found.select(*names, F.when(F.col(time).isNotNull(), known)["__value"].alias(value))
+
+
+def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str) -> DataFrame:
+    """Rows of ``left`` whose integer ``point`` lies in a right row's [low, high], of any lengths.
+
+    An interval of n points belongs to the level of the least power of two above n, and touches at most two buckets of that width; a point has
+    one bucket on each level that occurs, 63 at most. So an interval is at most two rows, however long it is, and its buckets are at most
+    four times as long as it is. Nulls match nothing."""
+    size = F.col(high).cast("decimal(20,0)") - F.col(low).cast("decimal(20,0)") + 1
+    known = right.filter(F.col(low) <= F.col(high)).withColumn("__level", F.least(F.floor(F.log2(size.cast("double"))) + 1, F.lit(63)).cast("int"))
+    levels = sorted(r[0] for r in known.select("__level").distinct().collect())
+    bucket = lambda c: F.expr(f"shiftright(cast(`{c}` as bigint), __level)")
+    ends = known.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(low), bucket(high)))))
+    points = left.filter(F.col(point).isNotNull()).withColumn("__level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("__bucket", bucket(point))
+    return points.join(ends, ["__level", "__bucket"]).filter(F.col(point).between(F.col(low), F.col(high))).drop("__level", "__bucket")

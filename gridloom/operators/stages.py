@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import json
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,11 +25,28 @@ def _hashable(kind: T.DataType, column):
     return column
 
 
+def _sums(kind: T.StructType) -> list[Column]:
+    """What a fingerprint is made of: sums over row hashes that no order changes."""
+    hashes = F.xxhash64(*[_hashable(f.dataType, F.col(f"`{f.name}`")) for f in kind.fields], F.lit(0))
+    return [F.count(F.lit(1)).alias("n"), F.sum(hashes.cast("decimal(38,0)")).alias("s"), F.bit_xor(hashes).alias("x")]
+
+
+def _named(kind: T.StructType, sums: dict) -> str:
+    return hashlib.md5(json.dumps([kind.jsonValue(), sums["n"], str(sums["s"]), sums["x"]], sort_keys=True).encode()).hexdigest()
+
+
 def fingerprint(df: DataFrame) -> str:
     """Of the schema and all rows, whatever their order: one aggregation of row hashes."""
-    hashes = F.xxhash64(*[_hashable(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields], F.lit(0))
-    row = df.agg(F.count("*").alias("n"), F.sum(hashes.cast("decimal(38,0)")).alias("s"), F.bit_xor(hashes).alias("x")).first()
-    return hashlib.md5(json.dumps([df.schema.jsonValue(), row["n"], str(row["s"]), row["x"]], sort_keys=True).encode()).hexdigest()
+    return _named(df.schema, df.agg(*_sums(df.schema)).first().asDict())
+
+
+def _early_ends(df: DataFrame) -> int:
+    """Operators in the plan that may stop reading their input, or read a part of it twice or not at all."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("extended")
+    analyzed = text.getvalue().partition("== Analyzed Logical Plan ==")[2].partition("== Optimized Logical Plan ==")[0]
+    return len(re.findall(r"(?m)^[ :+|-]*(?:GlobalLimit|LocalLimit|Offset|Tail|Join|Intersect|Except|Union)\b", analyzed))
 
 
 def unchanged(before: DataFrame, after: DataFrame, proof: bool = False) -> bool:
@@ -43,11 +64,15 @@ def schema_change(before: DataFrame, after: DataFrame) -> dict[str, list[str]]:
 
 @dataclass
 class Record:
+    """A step. input_fp and input_rows are of its input; they are known once the stage has been tracked."""
+
     text: str
     input_fp: str
     output_schema: dict[str, str]
     metadata: dict[str, str] = field(default_factory=dict)
     step: Step | None = None
+    tracked: bool = False
+    input_rows: int | None = None
 
 
 @dataclass
@@ -58,14 +83,19 @@ class Stage:
     branches: list[str] = field(default_factory=list)
     parent: str | None = None
     parameters: dict[str, object] = field(default_factory=dict)
+    #: The rows before the first step.
+    source: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.source is None:
+            self.source = self.df
 
     def schema(self) -> dict[str, str]:
         return dict(self.df.dtypes) if self.df is not None else {}
 
     def apply(self, step: Step | str, text: str = "", description: str | None = None, track: bool = True) -> DataFrame:
-        """Run a callable, or SQL over ``{df}`` with the stage's parameters bound, and record it.
-
-        ``track`` fingerprints the input, which runs all steps up to here; without it a step costs nothing until its rows are asked for."""
+        """Run a callable, or SQL over ``{df}`` with the stage's parameters bound, and record it. Nothing is computed here: the fingerprints
+        of inputs that ``track`` asks for come with the next run of ``track()``."""
         if self.df is None:
             raise ValueError("No data loaded")
         if isinstance(step, str):
@@ -75,10 +105,40 @@ class Stage:
         out = step(self.df)
         if not isinstance(out, DataFrame):
             raise ValueError("A step must return a DataFrame")
-        self.steps.append(Record(text, fingerprint(self.df) if track else "", dict(out.dtypes), {"description": description} if description else {}, step))
+        self.steps.append(Record(text, "", dict(out.dtypes), {"description": description} if description else {}, step, track))
         self.df = out
         return out
 
+    def track(self, run: Callable[[DataFrame], None] | None = None) -> list[str]:
+        """Fingerprints of the inputs of all tracked steps, as by-products of one run over the stage's rows: ``run`` gets the rows and must
+        read them all (by default nothing is kept of them), so a caller's own write pays for all of them.
+
+        Before a step that may not read its whole input, as a limit or a join, the rows so far are read by a run of their own."""
+        write = run or (lambda df: df.write.format("noop").mode("overwrite").save())
+        df, waiting = self.source, []
+
+        def filled() -> None:
+            for record, seen, kind in waiting:
+                record.input_fp, record.input_rows = _named(kind, seen.get), seen.get["n"]
+            waiting.clear()
+
+        if run is None and not any(r.tracked and not r.input_fp for r in self.steps):
+            return [r.input_fp for r in self.steps]
+        for record in self.steps:
+            if record.tracked and not record.input_fp:
+                seen = Observation(f"step-{uuid.uuid4().hex}")
+                waiting.append((record, seen, df.schema))
+                df = df.observe(seen, *_sums(df.schema))
+            out = record.step(df)
+            if waiting and _early_ends(out) > _early_ends(df):
+                df.write.format("noop").mode("overwrite").save()
+                filled()
+            df = out
+        if waiting or run is not None:
+            write(df)
+            filled()
+        return [r.input_fp for r in self.steps]
+
     def replay(self, df: DataFrame) -> DataFrame:
         """The recorded steps over another input, as one lazy plan."""
         for record in self.steps:
@@ -122,7 +182,7 @@ class Workbook:
         if source.df is None:
             raise ValueError("No data to branch")
         source.branches.append(new)
-        return self._register(Stage(new, source.df, list(source.steps), [], name, dict(source.parameters)))
+        return self._register(Stage(new, source.df, list(source.steps), [], name, dict(source.parameters), source.source))
 
     def remove(self, name: str) -> None:
         gone = self.get(name)
@@ -134,6 +194,9 @@ class Workbook:
             self.current = next(iter(self.stages), None)
 
     def lineage(self) -> DataFrame:
-        """(sheet, step, text, input_fp, output_schema, metadata) of all steps."""
+        """(sheet, step, text, input_fp, output_schema, metadata) of all steps; tracks the stages that have not been."""
+        for stage in self.stages.values():
+            if stage.source is not None:
+                stage.track()
         rows = [(s.name, k, r.text, r.input_fp, r.output_schema, r.metadata) for s in self.stages.values() for k, r in enumerate(s.steps, 1)]
         return self.spark.createDataFrame(rows, "sheet string, step int, text string, input_fp string, output_schema map<string,string>, metadata map<string,string>")

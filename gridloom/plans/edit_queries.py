@@ -125,6 +125,22 @@ def replayed_steps(spark, sf_dir):
     return stage.replay(customer)
 
 
+@BOOK.add(
+    """WITH a AS (SELECT * FROM orders WHERE o_totalprice > 1000), b AS (SELECT o_orderpriority, count(*) AS n FROM a GROUP BY 1)
+    SELECT 1 AS step, (SELECT count(*) FROM orders) AS input_rows, TRUE AS same UNION ALL SELECT 2, (SELECT count(*) FROM a), TRUE UNION ALL SELECT 3, (SELECT count(*) FROM b), TRUE UNION ALL SELECT 4, least(2, (SELECT count(*) FROM b)), TRUE"""
+)
+def tracked_steps(spark, sf_dir):
+    """Rows of each step's input, seen in passing, and whether its fingerprint is the one that a job of its own finds."""
+    orders = table(spark, sf_dir, "orders")
+    stage = stages.Stage("orders", orders)
+    inputs = [orders, stage.apply("SELECT * FROM {df} WHERE o_totalprice > 1000"), stage.apply(lambda df: df.groupBy("o_orderpriority").agg(F.count("*").alias("n")))]
+    inputs.append(stage.apply(lambda df: df.orderBy("o_orderpriority").limit(2)))
+    stage.apply(lambda df: df.filter("n > 0"))
+    found = stage.track()
+    rows = [(k, r.input_rows, fp == stages.fingerprint(df)) for k, (r, fp, df) in enumerate(zip(stage.steps, found, inputs), 1)]
+    return spark.createDataFrame(rows, "step int, input_rows bigint, same boolean")
+
+
 @BOOK.add("SELECT 'rich' AS sheet, c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 2 UNION ALL SELECT 'all', c_mktsegment, count(*) FROM customer GROUP BY 2")
 def branched_sheets(spark, sf_dir):
     """A branch goes its own way; the sheet that it came from stays."""

@@ -163,7 +163,30 @@ def as_of_join(spark, sf_dir):
 @BOOK.add("SELECT o_orderkey, p_partkey FROM orders JOIN (SELECT p_partkey, p_partkey * 50 AS lo, p_partkey * 50 + p_size AS hi FROM part) p ON o_orderkey BETWEEN lo AND hi")
 def range_join(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 50).alias("lo"), (F.col("p_partkey") * 50 + F.col("p_size")).alias("hi"))
-    return frame.range_join(table(spark, sf_dir, "orders").select("o_orderkey"), part, "o_orderkey", "lo", "hi", 64).select("o_orderkey", "p_partkey")
+    return frame.range_join(table(spark, sf_dir, "orders").select("o_orderkey"), part, "o_orderkey", "lo", "hi").select("o_orderkey", "p_partkey")
+
+
+LENGTHS = "SELECT c_custkey, c_custkey * 40 AS lo, c_custkey * 40 + CAST(pow(10, c_custkey % 7) AS BIGINT) * CASE WHEN c_custkey % 50 < 7 THEN 1 ELSE 0 END AS hi FROM customer"
+
+
+@BOOK.add(f"SELECT c_custkey, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders JOIN ({LENGTHS}) c ON o_orderkey BETWEEN lo AND hi GROUP BY 1")
+def range_join_lengths(spark, sf_dir):
+    """Intervals of one point up to a million."""
+    k = F.col("c_custkey")
+    length = F.pow(F.lit(10), k % 7).cast("bigint") * F.when(k % 50 < 7, 1).otherwise(0)
+    spans = table(spark, sf_dir, "customer").select("c_custkey", (k * 40).alias("lo"), (k * 40 + length).alias("hi"))
+    return frame.range_join(table(spark, sf_dir, "orders").select("o_orderkey"), spans, "o_orderkey", "lo", "hi").groupBy("c_custkey").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+
+
+@BOOK.add(
+    """SELECT l.l_orderkey, l.l_linenumber, o.o_totalprice AS price FROM (SELECT *, CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_suppkey END AS k FROM lineitem) l
+    ASOF LEFT JOIN (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 100 END AS k, o_orderkey AS t, o_totalprice FROM orders) o ON o.k = l.k AND o.t <= l.l_orderkey"""
+)
+def as_of_hot(spark, sf_dir):
+    """One key holds half of the left rows and a third of the right ones."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 2 == 0, 0).otherwise(F.col("l_suppkey")).alias("k"), F.col("l_orderkey").alias("t"))
+    orders = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey") % 100).alias("k"), F.col("o_orderkey").alias("t"), F.col("o_totalprice").alias("price"))
+    return frame.as_of(lines, orders, "k", "t", "price").select("l_orderkey", "l_linenumber", "price")
 
 
 @BOOK.add(

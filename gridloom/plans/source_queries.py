@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridloom.plans.book import Book, table
-from gridloom.scratch import shared_folder
+from gridloom.scratch import new_path, shared_folder
 from gridloom.sources import files, tables
+from gridloom.sources.versions import VersionedTable
 
 BOOK = Book()
 PART = "SELECT p_partkey, p_name, p_retailprice FROM part"
@@ -72,6 +73,39 @@ def table_modes(spark, sf_dir):
     return tables.fetch_query(spark, f"SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {name} GROUP BY 1")
 
 
+def _versioned(spark, sf_dir):
+    """Orders as a versioned table of files that each hold a range of keys."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return VersionedTable.create(orders.repartitionByRange(8, "o_orderkey"), new_path(spark, "orders-versions"))
+
+
+@BOOK.add(
+    """SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey < 200 THEN 0.0 ELSE o_totalprice END AS o_totalprice, 3 AS versions
+    FROM orders WHERE NOT (o_orderkey BETWEEN (SELECT max(o_orderkey) FROM orders) // 2 AND (SELECT max(o_orderkey) FROM orders) // 2 + 500)"""
+)
+def delete_key_range(spark, sf_dir):
+    """A stretch of keys is deleted and another one updated; only the files that hold them are written anew."""
+    held = _versioned(spark, sf_dir)
+    middle = held.read().agg(F.max("o_orderkey")).first()[0] // 2
+    held.delete(F.col("o_orderkey").between(middle, middle + 500))
+    held.update("o_totalprice", F.lit(0.0), F.col("o_orderkey") < 200)
+    return held.read().withColumn("versions", F.lit(len(held.versions())))
+
+
+@BOOK.add(
+    """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 1000 = 7 THEN NULL WHEN o_custkey % 50 = 1 THEN 'fixed' ELSE o_orderstatus END AS o_orderstatus,
+    CASE WHEN o_custkey % 50 = 1 THEN o_custkey + 0.5 ELSE o_totalprice END AS o_totalprice FROM orders"""
+)
+def patched_files(spark, sf_dir):
+    """Single cells set by key, later ones over earlier ones, empty ones too."""
+    held, orders = _versioned(spark, sf_dir), table(spark, sf_dir, "orders")
+    chosen = orders.filter("o_custkey % 50 = 1")
+    patches = chosen.selectExpr("o_orderkey", "'o_totalprice' as column", "'12' as value", "1 as seq").unionByName(chosen.selectExpr("o_orderkey", "'o_totalprice' as column", "concat(o_custkey, '.5') as value", "2 as seq"))
+    patches = patches.unionByName(chosen.selectExpr("o_orderkey", "'o_orderstatus' as column", "'fixed' as value", "3 as seq")).unionByName(orders.filter("o_orderkey % 1000 = 7").selectExpr("o_orderkey", "'o_orderstatus' as column", "string(null) as value", "9 as seq"))
+    held.patch(patches, "o_orderkey")
+    return held.read()
+
+
 @BOOK.add("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
 def all_as_text(spark, sf_dir):
     return files.as_text(table(spark, sf_dir, "nation"))
