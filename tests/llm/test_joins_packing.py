@@ -185,12 +185,47 @@ def test_texts_of_a_node_meet_past_its_unlike_first(spark):
     like, unlike = b"\1" * 128, b"\2" * 128
     rows = [(g * 10 + k, sig, [g << 12 | low]) for g in range(1, 41) for k, (sig, low) in enumerate([(unlike, 0), (like, 0x500), (like, 0x900)])]
     df = spark.createDataFrame(rows, "nid long, sig binary, labels array<long>")
-    state = df.select("nid", F.col("nid").alias("root"), F.lit(False).alias("done"))
     settings = ngram_join.Settings()
-    got = {(r.a, r.b) for r in ngram_join.likely(ngram_join.ties(ngram_join.trie_members(df, settings), state, [12, 8, 4], settings.beside), df, settings).collect()}
+    members = ngram_join.trie_members(df, settings).join(df.select("nid", "sig"), "nid").withColumn("root", F.col("nid"))
+    got = {(r.a, r.b) for r in ngram_join.ties(members, [12, 8, 4], settings.beside, settings).collect()}
     assert got == {(g * 10 + 2, g * 10 + 1) for g in range(1, 41)}
 
 
+def test_a_node_of_many_members_is_cut_and_still_meets_its_first(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HAND", 50)
+    settings = ngram_join.Settings(share=40)
+    sigs = [bytes([k % 7 + 1]) * 128 for k in range(700)]
+    df = spark.createDataFrame([(k, sigs[k], [5 << 12 | k % 7 << 8]) for k in range(700)], "nid long, sig binary, labels array<long>")
+    members = ngram_join.trie_members(df, settings).join(df.select("nid", "sig"), "nid").withColumn("root", F.col("nid"))
+    assert members.first().shares == 18
+    got = [(r.a, r.b) for r in ngram_join.ties(members, [12, 8, 4], settings.beside, settings).collect()]
+    assert all(a > b and a % 7 == b % 7 for a, b in got) and len(set(got)) == len(got)
+    first = {b for a, b in got if b == 0}
+    assert first == {0} and sum(b == 0 for _, b in got) == 99  # every text like the node's first
+    known = ngram_join.ties(members.withColumn("root", F.col("nid") % 7), [12, 8, 4], settings.beside, settings)
+    assert known.count() == 0
+
+
+def test_links_at_the_threshold_are_found(spark):
+    """5,000 pairs at 0.80 to 0.82; half of the texts have a copy at 0.98 beside them."""
+    pairs, docs = 5000, []
+    for f in range(pairs):
+        base = [f"f{f}w{k}" for k in range(104)]  # 100 shingles
+        docs.append((4 * f, " ".join(base)))
+        cut = 104 - (11 - f % 2)  # so many changed words at the end are as many shingles
+        other = base[:cut] + [f"g{f}w{k}" for k in range(104 - cut)]
+        docs.append((4 * f + 2, " ".join(other)))
+        if f % 2:
+            docs += [(4 * f + 1, " ".join(["x", *base[1:]])), (4 * f + 3, " ".join(["y", *other[1:]]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    classes = {r.doc_id: r.class_id for r in ngram_join.join(df).collect()}
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    a, b = (sets(docs[k][1].split()) for k in (0, 1))
+    assert 0.8 <= len(a & b) / len(a | b) <= 0.81
+    lost = sum(classes[4 * f] != classes[4 * f + 2] for f in range(pairs))
+    assert lost <= (1 - ngram_join.Settings().recall) * pairs
+
+
 def test_pages_of_one_template_are_not_gathered(spark):
     rng = np.random.default_rng(8)
     frame = [f"t{k}" for k in range(150)]
