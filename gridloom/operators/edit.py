@@ -1,17 +1,18 @@
-"""Row and column edits (E01-E16). Frames with rows carry ``_row`` from 1; positions are lists of edits made by a person, so they are
-literals of the plan, while cell patches are a table."""
+"""Row and column edits (E01-E16). Frames with rows carry ``_row`` from 1; positions are short lists, as literals of the plan, or tables, as
+cell patches are."""
 
 from __future__ import annotations
 
 import keyword
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.types import STORAGE, TRUE_WORDS, conflicts, convert, friendly, infer_value, parse_float, strip
 from gridloom.operators.order import ROW
+from gridloom.scratch import settle
 
 #: What a column name may not hold or be.
 FORBIDDEN = " \t\n\r\f\v()[]{}.,;:!@#$%^&*+=|\\/<>?`~\"'"
@@ -82,8 +83,38 @@ def _count_before(places: list[int], inclusive: bool) -> Column:
     return F.size(F.filter(held, lambda p: p <= F.col(ROW) if inclusive else p < F.col(ROW)))
 
 
-def insert_rows(df: DataFrame, positions: list[int]) -> DataFrame:
-    """Null rows before the given 1-based rows (of the table as it is); places past the end append. ``_row`` stays dense."""
+#: Row numbers of a block in which edit positions are summed up.
+BLOCK = 1 << 16
+
+
+def _running(rows: DataFrame, at: str, value: str, out: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows up to the own number ``at``: within blocks of numbers, and over the blocks' totals."""
+    cut = rows.withColumn("__block", F.floor(F.col(at) / BLOCK))
+    inside = Window.partitionBy("__block").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    totals = cut.groupBy("__block").agg(F.sum(value).alias("__sum")).select("__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    return cut.withColumn("__inside", F.sum(value).over(inside)).join(totals, "__block").withColumn(out, F.col("__inside") + F.col("__before")).drop("__block", "__inside", "__before")
+
+
+def _places(positions: DataFrame, low: int, high: int, clip: bool) -> DataFrame:
+    """(__p, __k): the positions of a table's first column and how often each occurs, in the shared folder."""
+    held = positions.select(F.col(f"`{positions.columns[0]}`").cast("bigint").alias("__p"))
+    held = settle((held.withColumn("__p", F.when(F.col("__p") > high, high).otherwise(F.col("__p"))) if clip else held).groupBy("__p").agg(F.count("*").alias("__k")), "edit-places")
+    if not held.filter(f"__p is null or __p < {low} or __p > {high}").isEmpty():
+        raise ValueError(f"Row out of range ({low} to {high})")
+    return held
+
+
+def insert_rows(df: DataFrame, positions: list[int] | DataFrame) -> DataFrame:
+    """Null rows before the given 1-based rows (of the table as it is); places past the end append. ``_row`` stays dense.
+
+    Few positions are a list; any number of them is a table, whose first column holds them, and is joined by row."""
+    if isinstance(positions, DataFrame):
+        places = _places(positions, 1, df.count() + 1, True)
+        marked = df.join(places, df[ROW] == F.col("__p"), "left").drop("__p").withColumn("__k", F.coalesce("__k", F.lit(0)))
+        moved = _running(marked, ROW, "__k", "__shift").withColumn(ROW, F.col(ROW) + F.col("__shift")).drop("__k", "__shift")
+        new = _running(places, "__p", "__k", "__upto").select((F.col("__p") + F.col("__upto") - F.col("__k")).alias("__first"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__k") - 1)).alias("__n"))
+        return moved.unionByName(new.select(*[(F.col("__first") + F.col("__n")).alias(ROW) if c == ROW else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]))
     if any(p < 1 for p in positions):
         raise ValueError("Rows are inserted at 1 or later")
     total = df.count()
@@ -92,8 +123,12 @@ def insert_rows(df: DataFrame, positions: list[int]) -> DataFrame:
     return moved.unionByName(_null_rows(df, [p + k for k, p in enumerate(places)]))
 
 
-def delete_rows(df: DataFrame, positions: list[int]) -> DataFrame:
-    """Without the given 1-based rows; ``_row`` stays dense."""
+def delete_rows(df: DataFrame, positions: list[int] | DataFrame) -> DataFrame:
+    """Without the given 1-based rows; ``_row`` stays dense. Positions as for ``insert_rows``."""
+    if isinstance(positions, DataFrame):
+        places = _places(positions, 1, df.count(), False)
+        marked = df.join(places, df[ROW] == F.col("__p"), "left").drop("__k").withColumn("__gone", F.col("__p").isNotNull().cast("bigint")).drop("__p")
+        return _running(marked, ROW, "__gone", "__shift").filter("__gone = 0").withColumn(ROW, F.col(ROW) - F.col("__shift")).drop("__gone", "__shift")
     places = sorted(set(positions))
     total = df.count()
     if any(not 1 <= p <= total for p in places):

@@ -185,9 +185,25 @@ def profile_types(spark, sf_dir):
     return profile.profile_columns(table(spark, sf_dir, "lineitem"), exact=False).select("column", "friendly")
 
 
-@BOOK.add(" UNION ALL ".join(f"""SELECT '{t}' AS table_name, column_name AS "column", {KIND} AS friendly FROM (DESCRIBE {t})""" for t in TABLES))
+@BOOK.add(
+    " UNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, column_name AS "column", {KIND} AS friendly, "null" = 'YES' AS nullable, (SELECT CAST(least(5, count(*)) AS INTEGER) FROM {t}) AS samples FROM (DESCRIBE {t})""" for t in TABLES
+    )
+)
 def table_columns(spark, sf_dir):
-    return reduce(lambda a, b: a.unionByName(b), [profile.table_columns(t, table(spark, sf_dir, t)).select("table_name", "column", "friendly") for t in TABLES])
+    facts = [profile.table_columns(t, table(spark, sf_dir, t)).select("table_name", "column", "friendly", "nullable", F.size("sample").alias("samples")) for t in TABLES]
+    return reduce(lambda a, b: a.unionByName(b), facts)
+
+
+@BOOK.add(
+    """SELECT 'o_orderkey' AS "column", n AS place, '{"v":' || CAST(o_orderkey AS VARCHAR) || '}' AS value FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 5
+    UNION ALL SELECT 'o_orderstatus', n, '{"v":"' || o_orderstatus || '"}' FROM (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE n <= 5"""
+)
+def column_samples(spark, sf_dir):
+    """The values that a table's description shows of each column, of the rows that come first."""
+    rows = table(spark, sf_dir, "orders").orderBy("o_orderkey").select("o_orderkey", "o_orderstatus")
+    facts = profile.table_columns("orders", rows)
+    return facts.select("column", F.posexplode("sample").alias("place", "value")).select("column", (F.col("place") + 1).cast("bigint").alias("place"), "value")
 
 
 @BOOK.add("SELECT o_orderkey, o_orderkey % 3 = 0 AS point, o_orderkey % 3 IN (0, 1) AS misfit FROM orders")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.operators import edit, order, stages
 from gridloom.plans.book import Book, table
+from gridloom.scratch import settle
 
 BOOK = Book()
 CUSTOMERS = "SELECT row_number() OVER (ORDER BY c_custkey) AS r, c_custkey, c_name, c_nationkey FROM customer"
@@ -43,6 +46,21 @@ def delete_rows(spark, sf_dir):
     return edit.delete_rows(_customers(spark, sf_dir), [7, 25, 1])
 
 
+NUMBERED = "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS r, o_orderkey FROM orders"
+
+
+@BOOK.add(
+    f"""WITH t AS ({NUMBERED}), kept AS (SELECT row_number() OVER (ORDER BY r) AS r, o_orderkey FROM t WHERE r % 10 <> 0),
+    u AS (SELECT r, 1 AS late, o_orderkey FROM kept UNION ALL SELECT r, 0, NULL FROM kept WHERE r % 10 = 3 UNION ALL SELECT r, 0, NULL FROM kept WHERE r % 100 = 3)
+    SELECT CAST(row_number() OVER (ORDER BY r, late) AS BIGINT) AS _row, o_orderkey FROM u"""
+)
+def edited_at_many_rows(spark, sf_dir):
+    """Every tenth order is deleted; of what is left one row, or two, are put in before every tenth: the places are tables."""
+    rows = order.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey"), [("o_orderkey", True)])
+    kept = settle(edit.delete_rows(rows, rows.filter("_row % 10 = 0").select("_row")), "edited-orders")
+    return edit.insert_rows(kept, kept.filter("_row % 10 = 3").select("_row").unionByName(kept.filter("_row % 100 = 3").select("_row")))
+
+
 @BOOK.add(f"SELECT CAST(r AS BIGINT) AS _row, c_custkey, c_name, c_nationkey FROM ({CUSTOMERS}) UNION ALL SELECT count(*) + 1, NULL, NULL, NULL FROM customer")
 def append_row(spark, sf_dir):
     return edit.append_row(_customers(spark, sf_dir))
@@ -88,10 +106,16 @@ def typed_edit_bool(spark, sf_dir):
     return edit.edit_cell(_prices(spark, sf_dir, "o_custkey"), 2, "o_custkey", "1", convert_column=True)
 
 
-@BOOK.add("SELECT o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 2")
+@BOOK.add(
+    """WITH t AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS r, o_totalprice FROM orders)
+    SELECT CAST(r AS BIGINT) AS at, CASE r WHEN 2 THEN 7.25 WHEN 4 THEN NULL ELSE o_totalprice END AS o_totalprice FROM t WHERE r IN (2, 3, 4) OR r = (SELECT count(*) FROM orders)"""
+)
 def cell_value(spark, sf_dir):
-    patches = spark.createDataFrame([(2, "o_totalprice", "7", 1)], "row bigint, col string, value string, seq int")
-    return edit.cell(_prices(spark, sf_dir, "o_totalprice"), patches, 3, "o_totalprice")
+    """Cells through pending edits: one set twice, one as it was, one cleared, and the last one, whose edit is of another row."""
+    rows = _prices(spark, sf_dir, "o_totalprice")
+    patches = spark.createDataFrame([(2, "o_totalprice", "7.25", 2), (2, "o_totalprice", "9", 1), (2, "o_orderkey", "5", 3), (4, "o_totalprice", " ", 1)], "row bigint, col string, value string, seq int")
+    found = [edit.cell(rows, patches, r, "o_totalprice").select(F.lit(r).cast("bigint").alias("at"), "o_totalprice") for r in (2, 3, 4, rows.count())]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @BOOK.add("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey WHEN 3 THEN -o_orderkey END AS fitted FROM orders")

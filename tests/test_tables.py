@@ -50,12 +50,21 @@ def test_addresses_and_neighbours(small):
     assert [search.letters(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
 
 
-def test_insert_and_delete(small):
+def test_insert_and_delete(small, monkeypatch):
     out = edit.insert_rows(small, [1, 3, 3, 99])
     assert values(out, "id") == [None, 1, 2, None, None, 3, 4, 5, 6, 7, None] and values(out, "_row") == list(range(1, 12))
     assert values(edit.delete_rows(small, [7, 1]), "id") == [2, 3, 4, 5, 6]
     assert edit.delete_rows(small, list(range(1, 8))).columns == small.columns
     assert values(edit.append_row(small), "id")[-1] is None
+    at = lambda *rows: small.sparkSession.createDataFrame([(r,) for r in rows], "p long")
+    monkeypatch.setattr(edit, "BLOCK", 3)
+    for places in ([1, 3, 3, 99], [], [8], list(range(1, 9)) * 2):
+        assert sorted(map(str, edit.insert_rows(small, at(*places)).collect())) == sorted(map(str, edit.insert_rows(small, places).collect()))
+    for places in ([7, 1], [], [2, 2], list(range(1, 8))):
+        assert sorted(map(str, edit.delete_rows(small, at(*places)).collect())) == sorted(map(str, edit.delete_rows(small, places).collect()))
+    for bad in (lambda: edit.insert_rows(small, at(0)), lambda: edit.insert_rows(small, at(None)), lambda: edit.delete_rows(small, at(1, 8))):
+        with pytest.raises(ValueError):
+            bad()
     for bad in (lambda: edit.insert_rows(small, [0]), lambda: edit.delete_rows(small, [0]), lambda: edit.delete_rows(small, [8])):
         with pytest.raises(ValueError):
             bad()
