@@ -40,12 +40,10 @@ def _first_cut(rows: DataFrame, keys: list[str], facts: DataFrame) -> DataFrame:
     return known.withColumn("side", side).filter("side <= 0").withColumn("v", F.when(F.col("side") == 0, F.col("v"))).groupBy(*keys, "side", "v").agg(F.sum("w").alias("w"))
 
 
-def _narrowed(values: DataFrame, keys: list[str], ranks: DataFrame, small: int) -> tuple[DataFrame, DataFrame, bool]:
-    """Values and ranks after one more round, for the groups with more than ``small`` values; was there one?"""
+def _narrowed(values: DataFrame, keys: list[str], ranks: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Values and ranks after one more round, for the groups with more than ``small`` values."""
     large = values.groupBy(*keys).agg(F.count("*").alias("m"), _grid("v").alias("grid")).filter(F.col("m") > small).drop("m")
     large = settle(large, "rank-grids")
-    if large.isEmpty():
-        return values, ranks, False
     # a group without grid is one range
     cut = _with_left(values, large, keys).withColumn("bucket", F.coalesce(F.size(F.filter("grid", lambda p: p < F.col("v"))), F.lit(0))).drop("grid")
     sums = cut.groupBy(*keys, "bucket").agg(F.sum("w").alias("w"))
@@ -56,7 +54,12 @@ def _narrowed(values: DataFrame, keys: list[str], ranks: DataFrame, small: int)
     chosen = settle(chosen, "rank-buckets")
     kept = _with(cut, chosen, keys).filter(F.col("bucket").between(F.col("lower_bucket"), F.col("upper_bucket"))).select(*keys, "v", "w")
     moved = _with(ranks, chosen.select(*keys, "before"), keys)
-    return settle(kept, "rank-values"), moved.select(*keys, *[(F.col(r) - F.col("before")).alias(r) for r in ("lower", "upper")]), True
+    return settle(kept, "rank-values"), moved.select(*keys, *[(F.col(r) - F.col("before")).alias(r) for r in ("lower", "upper")])
+
+
+def _most(values: DataFrame, keys: list[str]) -> int:
+    """Values of the group that has the most."""
+    return values.groupBy(*keys).agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
 
 
 def _with_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,15 +85,18 @@ def quantiles(df: DataFrame, by: list[str], columns: list[str], q: float, how: s
     pivot = lambda r, step: F.get("grid", (F.floor(F.col(r) * GRID / F.col("n")) + step - 1).cast("int"))
     facts = settle(guess.select(*keys, "n", "lower", "upper", pivot("lower", -1).alias("low"), pivot("upper", 2).alias("high")), "rank-guess")
     found = settle(_first_cut(rows, keys, facts), "rank-stretch")
-    sums = found.groupBy(*keys).agg(F.sum(F.when(F.col("side") < 0, F.col("w")).otherwise(0)).alias("under"), F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0)).alias("within"))
+    sums = found.groupBy(*keys).agg(F.sum(F.when(F.col("side") < 0, F.col("w")).otherwise(0)).alias("under"), F.sum(F.when(F.col("side") == 0, F.col("w")).otherwise(0)).alias("within"), F.count_if(F.col("side") == 0).alias("m"))
     missed = (F.col("lower") < F.col("under")) | (F.col("upper") >= F.col("under") + F.col("within"))
     checked = settle(_with(facts, sums, keys), "rank-facts")
-    if not checked.filter(missed).isEmpty():
+    any_missed, most = checked.agg(F.max(missed), F.max("m")).first()
+    if any_missed:
         checked = settle(checked.withColumns({c: F.when(missed, F.lit(None)).otherwise(F.col(c)) for c in ("low", "high")}).withColumn("under", F.when(missed, 0).otherwise(F.col("under"))), "rank-facts")
         found = settle(_first_cut(rows, keys, checked), "rank-stretch")
-    left, ranks, more = found.filter("side = 0").select(*keys, "v", "w"), checked.select(*keys, *[(F.col(r) - F.col("under")).alias(r) for r in ("lower", "upper")]), True
-    while more:
-        left, ranks, more = _narrowed(left, keys, ranks, small)
+        most = _most(found.filter("side = 0"), keys)
+    left, ranks = found.filter("side = 0").select(*keys, "v", "w"), checked.select(*keys, *[(F.col(r) - F.col("under")).alias(r) for r in ("lower", "upper")])
+    while (most or 0) > small:
+        left, ranks = _narrowed(left, keys, ranks, small)
+        most = _most(left, keys)
     ends = left.withColumn("end", F.sum("w").over(Window.partitionBy(*keys).orderBy("v")))  # at most ``small`` rows a group
     held = _with(ends, ranks, keys)
     picked = held.groupBy(*keys).agg(*[F.min(F.when((F.col("end") - F.col("w") <= F.col(r)) & (F.col(r) < F.col("end")), F.col("v"))).alias(f"at_{r}") for r in ("lower", "upper")])
