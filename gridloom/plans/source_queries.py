@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.book import Book, table
 from gridloom.scratch import new_path, shared_folder
-from gridloom.sources import files, tables
+from gridloom.sources import arrow_ipc, files, json_parts, tables
 from gridloom.sources.versions import VersionedTable
 
 BOOK = Book()
@@ -51,6 +51,27 @@ def arrow_ipc_round_trip(spark, sf_dir):
     return _back(spark, sf_dir, "arrow")
 
 
+@BOOK.add("SELECT o_orderkey, o_totalprice, n FROM (SELECT o_orderkey, o_totalprice, 1 AS n FROM orders UNION ALL SELECT o_orderkey, o_totalprice, 2 FROM orders WHERE o_custkey % 10 = 0)")
+def arrow_columns(spark, sf_dir):
+    """Some columns of Arrow files, of which tasks read stretches of batches; an append shows at once."""
+    orders = table(spark, sf_dir, "orders").withColumn("n", F.lit(1))
+    path = files.save(orders, new_path(spark, "orders") + ".arrow")
+    files.save(orders.filter("o_custkey % 10 = 0").withColumn("n", F.lit(2)), path, mode="append")
+    schema = orders.select("o_orderkey", "o_totalprice", "n").schema
+    return spark.read.format(arrow_ipc.NAME).option("splitBytes", 1 << 20).schema(schema).load(path)
+
+
+@BOOK.add(r"""SELECT p_partkey, p_name || '"\]},{' AS note, p_size, p_brand AS first FROM part""")
+def json_arrays(spark, sf_dir):
+    """Arrays of 500 objects on one line, strings full of brackets and quotes, read by ranges that cut them anywhere."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit('"\\]},{')).alias("note"), F.struct("p_size", F.array("p_brand", "p_type").alias("kinds")).alias("facts"))
+    arrays = part.groupBy(F.floor(F.col("p_partkey") / 500)).agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(F.struct(*part.columns))), ", "), F.lit("]")).alias("value"))
+    path = new_path(spark, "part-arrays") + ".json"
+    arrays.select("value").write.text(path)
+    schema = "p_partkey bigint, note string, facts struct<p_size: int, kinds: array<string>>"
+    return json_parts.read(spark, path, schema, 1 << 16).select("p_partkey", "note", "facts.p_size", F.col("facts.kinds")[0].alias("first"))
+
+
 @BOOK.add("SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_size > 25")
 def save_over_source(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice", "p_size")

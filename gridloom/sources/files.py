@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridloom.sources import arrow_ipc
+from gridloom.sources import arrow_ipc, json_parts
 
 #: Extension -> (format, options).
 READERS: dict[str, tuple[str, dict[str, str]]] = {
@@ -40,17 +40,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _one_object_a_line(spark: SparkSession, path: str) -> bool:
-    """Does the first line of a JSON file hold a whole object?"""
-    first = spark.read.text(path).filter(F.trim("value") != "").first()
-    try:
-        return isinstance(json.loads(first.value), dict) if first else False
-    except ValueError:
-        return False
-
-
-def load(spark: SparkSession, path: str, format: str | None = None, schema=None) -> DataFrame:
-    """Read by the path's extension (unknown ones as CSV), or by ``format``: csv, parquet or json. A given schema saves CSV a scan."""
+def load(spark: SparkSession, path: str, format: str | None = None, schema=None, columns: list[str] | None = None) -> DataFrame:
+    """Read by the path's extension (unknown ones as CSV), or by ``format``: csv, parquet or json. A given schema saves CSV a scan. Of Arrow
+    files only ``columns`` are decoded; the other formats' scans see by themselves which columns a query needs."""
     if format is not None and format not in FORMATS:
         raise ValueError(f"Unsupported file format: {format}")
     if not exists(spark, path):
@@ -58,12 +50,19 @@ def load(spark: SparkSession, path: str, format: str | None = None, schema=None)
     kind, options = READERS.get(format or extension(path), READERS["csv"])
     if kind == arrow_ipc.NAME:
         arrow_ipc.register(spark)
-    if kind == "json" and options and _one_object_a_line(spark, path):
+        if columns is not None and schema is None:
+            full = spark.read.format(kind).load(path).schema
+            schema = StructType([full[c] for c in columns])
+    if kind == "json" and options and (lines := json_parts.is_lines(spark, path)) is not None:
+        if not lines:
+            whole = json_parts.read(spark, path, schema)
+            return whole if columns is None else whole.select(*[F.col(f"`{c}`") for c in columns])
         options = {}
     reader = spark.read.format(kind).options(**options)
     if schema is not None:
         reader = spark.read.format(kind).options(**{k: v for k, v in options.items() if k != "inferSchema"}).schema(schema)
-    return reader.load(path)
+    whole = reader.load(path)
+    return whole if columns is None else whole.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def load_as_table(spark: SparkSession, path: str, table: str, format: str | None = None) -> DataFrame:
