@@ -1,7 +1,9 @@
 """Messy table texts to clean rows (M01-M20), for a table of texts (id, text) at once.
 
 Lines are rows and cells are arrays; a text's layout is decided by expressions over its first eleven lines, which are the only ones
-gathered. Lines, facts and rows are each written once to the shared folder, since every layout's branch reads them. ``parity=True`` keeps three habits of the spreadsheet that lose data: a leading tab is stripped, rank-only lines fall to the
+gathered. Lines, facts and rows are each written once to the shared folder, since every layout's branch reads them. A text may be larger than a
+task: what looks at neighbouring lines works on stretches of ``SEGMENT`` lines, which see the edge lines of their neighbours, and numbers and
+open records are carried over from stretch to stretch; only a row a stretch is ever ordered by text. ``parity=True`` keeps three habits of the spreadsheet that lose data: a leading tab is stripped, rank-only lines fall to the
 title filter, and ranked rows don't start records. Null and blank texts, and one line without separator, give no table.
 """
 
@@ -14,6 +16,8 @@ from gridloom.functions.types import pasted_number, strip
 from gridloom.scratch import settle
 
 HEAD = 11
+#: Lines of a text that are ordered in one task.
+SEGMENT = 1 << 16
 #: Marks and words that the layout tests look for.
 UNIT_MARKS = ("mi2", "km2", "/ mi2", "/ km2", "%", "°N", "°W", "°E", "°S", "[tonnes]", "[kg", "[m (ft)]", "[ft]", "(ft)", "(m)", "lbs")
 MULTILINE_MARKS = ("[tonnes]", "[kg", "[m (ft)]", "[ft]", "(ft)", "(m)", "mi2", "km2", "%")
@@ -65,27 +69,67 @@ def padded(cells: Column, width: Column) -> Column:
     return F.slice(F.concat(cells, F.array_repeat(F.lit(""), F.greatest(width - F.size(cells), F.lit(0)))), 1, width)
 
 
+def _stretch(at: Column) -> Column:
+    return F.greatest(F.floor(at / SEGMENT), F.lit(0)).cast("long")
+
+
+def _numbered_by(rows: DataFrame, at: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: their numbers from 0 in the order of ``at`` in each text. Stretches are numbered alone, then shifted by the rows
+    before them."""
+    cut = rows.withColumn("seg", _stretch(F.col(at)))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = cut.groupBy("id", "seg").count().select("id", "seg", before.alias("shift"))  # a row a stretch
+    numbered = cut.withColumn("place", F.row_number().over(Window.partitionBy("id", "seg").orderBy(at)) - 1).join(shifts, ["id", "seg"])
+    return numbered.withColumn(name, (F.col("shift") + F.col("place"))).drop("seg", "shift", "place")
+
+
+def _with_edges(rows: DataFrame, at: str, behind: int, ahead: int) -> DataFrame:
+    """``rows`` with ``seg`` and ``own``: each stretch also gets the last ``behind`` rows of the one before it and the first ``ahead`` rows of the
+    next, which are not its own. ``at`` counts from 0 without gaps."""
+    seg, inner = _stretch(F.col(at)), F.pmod(F.col(at), F.lit(SEGMENT))
+    copies = F.array_compact(F.array(seg, F.when((inner < ahead) & (seg > 0), seg - 1), F.when(inner >= SEGMENT - behind, seg + 1)))
+    return rows.withColumn("seg", F.explode(copies)).withColumn("own", F.col("seg") == seg)
+
+
+def _to_stretches(facts: DataFrame, lines: str = "n_rows") -> DataFrame:
+    """A text's facts once for each of its stretches, so that a join with its lines has no hot key."""
+    return facts.withColumn("seg", F.explode(F.sequence(F.lit(0).cast("long"), _stretch(F.greatest(F.col(lines) - 1, F.lit(0))))))
+
+
 def lines_of(texts: DataFrame, parity: bool = False) -> DataFrame:
-    """(id, n, line): kept lines from 0. A line without tab goes if one of the next two has one."""
+    """(id, n, line): kept lines from 0 of (id, text)."""
     edges = r"^\s+|\s+$" if parity else r"^[\n\r ]+|[\n\r ]+$"
     body = F.regexp_replace(F.coalesce("text", F.lit("")), edges, "")
-    raw = texts.select("id", body.alias("body")).filter(strip(F.col("body")) != "").select("id", F.posexplode(F.split("body", "\n")).alias("at", "line"))
-    order = Window.partitionBy("id").orderBy("at")
-    ahead = F.greatest(F.coalesce(F.lead(F.instr("line", "\t"), 1).over(order), F.lit(0)), F.coalesce(F.lead(F.instr("line", "\t"), 2).over(order), F.lit(0)))
-    title = (F.instr("line", "\t") == 0) & (ahead > 0)
+    return kept_lines(texts.select("id", body.alias("body")).filter(strip(F.col("body")) != "").select("id", F.posexplode(F.split("body", "\n")).alias("at", "line")), parity)
+
+
+def kept_lines(lines: DataFrame, parity: bool = False) -> DataFrame:
+    """(id, n, line) of (id, at, line), at from 0 without gaps. A line without tab goes if one of the next two has one."""
+    order, tab = Window.partitionBy("id", "seg").orderBy("at"), F.instr("line", "\t")
+    ahead = F.greatest(F.coalesce(F.lead(tab, 1).over(order), F.lit(0)), F.coalesce(F.lead(tab, 2).over(order), F.lit(0)))
+    title = (tab == 0) & (ahead > 0)
     if not parity:
         title = title & ~is_digits(strip(F.col("line")))
-    return raw.withColumn("title", title).filter("not title").select("id", (F.row_number().over(order) - 1).alias("n"), "line")
+    marked = _with_edges(lines, "at", 0, 2).withColumn("title", title).filter("own and not title")
+    return _numbered_by(marked.select("id", "at", "line"), "at", "n").select("id", "n", "line")
 
 
 def rows_of(texts: DataFrame, parity: bool = False) -> DataFrame:
-    """(id, n, cells, ne, separator, n_rows, max_cols)."""
-    every = Window.partitionBy("id")
-    lines = lines_of(texts, parity).withColumn("top", F.first("line").over(every.orderBy("n"))).withColumn("n_rows", F.count("*").over(every))
+    """(id, n, cells, ne, separator, n_rows, max_cols) of (id, text)."""
+    return cut_rows(lines_of(texts, parity))
+
+
+def cut_rows(lines: DataFrame) -> DataFrame:
+    """Lines (id, n, line) as cells, with what is known of their text."""
+    widths = [F.max(F.size(F.split("line", c))).alias(n) for c, n in (("\t", "tabs"), (",", "commas"))]
+    facts = lines.groupBy("id").agg(F.count("*").alias("n_rows"), F.max(F.when(F.col("n") == 0, F.col("line"))).alias("top"), *widths)
     separator = F.when(F.col("top").contains("\t"), "\t").when(F.col("top").contains(","), ",")
-    cut = F.when(separator.isNull(), F.array("line")).when(separator == "\t", F.split("line", "\t")).otherwise(F.split("line", ","))
-    rows = lines.select("id", "n", F.transform(cut, strip).alias("cells"), separator.alias("separator"), "n_rows").filter("separator is not null or n_rows > 1")
-    return rows.withColumn("ne", filled(F.col("cells"))).withColumn("max_cols", F.max(F.size("cells")).over(every))
+    facts = facts.withColumn("separator", separator).filter("separator is not null or n_rows > 1")
+    facts = facts.withColumn("max_cols", F.when(F.col("separator") == "\t", F.col("tabs")).when(F.col("separator") == ",", F.col("commas")).otherwise(1)).drop("top", "tabs", "commas")
+    rows = lines.withColumn("seg", _stretch(F.col("n"))).join(_to_stretches(facts), ["id", "seg"])
+    cut = F.when(F.col("separator").isNull(), F.array("line")).when(F.col("separator") == "\t", F.split("line", "\t")).otherwise(F.split("line", ","))
+    rows = rows.select("id", "n", F.transform(cut, strip).alias("cells"), "separator", "n_rows", "max_cols")
+    return rows.withColumn("ne", filled(F.col("cells")))
 
 
 def _varying(h: Column, n: int) -> Column:
@@ -165,8 +209,12 @@ def _records(rows: DataFrame, parity: bool) -> DataFrame:
     new = new | ((F.col("ne") >= 2) & (F.size("cells") >= 2) & (_any(second, MONTHS) | second.rlike(r"\d")))
     if not parity:
         new = new | ((F.col("ne") >= 3) & is_digits(first))
-    order = Window.partitionBy("id").orderBy("n")
-    marked = rows.filter("layout = 'spanning' and n >= 2").withColumn("record", F.sum(new.cast("int")).over(order)).filter("record > 0")
+    # a record is known by its first line; the last one of a stretch is open in the next
+    marked = rows.filter("layout = 'spanning' and n >= 2").withColumn("starts", F.when(new, F.col("n"))).withColumn("seg", _stretch(F.col("n")))
+    before = F.max("last").over(Window.partitionBy("id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1))
+    opened = marked.groupBy("id", "seg").agg(F.max("starts").alias("last")).select("id", "seg", before.alias("open"))  # a row a stretch
+    within = F.max("starts").over(Window.partitionBy("id", "seg").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("within", within).join(opened, ["id", "seg"]).withColumn("record", F.coalesce("within", "open")).filter("record is not null")
     held = marked.groupBy("id", "record", "max_cols").agg(F.min("n").alias("n"), F.sort_array(F.collect_list(F.struct("n", "cells"))).alias("lines"))
     start = padded(F.get("lines", F.lit(0))["cells"], F.col("max_cols"))
     more = F.flatten(F.transform(F.slice("lines", 2, F.size("lines")), lambda x: F.filter(F.transform(x["cells"], lambda c, j: F.struct(j.alias("j"), strip(c).alias("c"))), lambda y: y["c"] != "")))
@@ -181,7 +229,16 @@ def _records(rows: DataFrame, parity: bool) -> DataFrame:
 def parse_tables(texts: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows (id, row_no, cells) from 0, the header row first where there is one, and for each text (id, layout, has_headers, separator,
     num_rows, num_cols, is_messy)."""
-    rows = settle(rows_of(texts, parity), "text-rows")
+    return parse_rows(rows_of(texts, parity), parity)
+
+
+def parse_lines(lines: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The same for texts that come as lines (id, at, line), at from 0 without gaps and no blank lines at either end: texts of any length."""
+    return parse_rows(cut_rows(kept_lines(lines, parity)), parity)
+
+
+def parse_rows(rows: DataFrame, parity: bool = False) -> tuple[DataFrame, DataFrame]:
+    rows = settle(rows, "text-rows")
     wide = F.col("ne") >= F.col("max_cols") * 0.6
     first = _first(F.col("cells"))
     solid = (F.col("n") >= 2) & (F.col("ne") >= F.size("cells") * 0.5) & (is_digits(first) | (F.length(first) > 3) | F.exists(F.slice("cells", 1, 3), lambda c: F.length(strip(c)) > 2))
@@ -197,9 +254,9 @@ def parse_tables(texts: DataFrame, parity: bool = False) -> tuple[DataFrame, Dat
         F.col("layout") == "complex", F.coalesce("solid", F.greatest(F.lit(2), F.floor(F.col("n_rows") / 4)))
     )
     facts = settle(facts.withColumn("layout", layout.otherwise("plain")).withColumn("start", start.cast("int")), "text-facts")
-    every = rows.join(facts.select("id", "layout", "start", "head"), "id")
+    known = _to_stretches(facts.select("id", "layout", "start", "head", "n_rows")).drop("n_rows")
+    every = rows.withColumn("seg", _stretch(F.col("n"))).join(known, ["id", "seg"]).drop("seg")
     clean = F.transform(padded(F.col("cells"), F.col("max_cols")), clean_cell)
-    order = Window.partitionBy("id").orderBy("n")
 
     found = {r.layout for r in facts.select("layout").distinct().collect()}  # seven at most; only their branches are planned
     # plain and single: padded; messy, multiline, complex: cleaned rows from the start on
@@ -208,9 +265,10 @@ def parse_tables(texts: DataFrame, parity: bool = False) -> tuple[DataFrame, Dat
         parts.append(every.filter("layout = 'messy' or (layout in ('multiline', 'complex') and n >= start)").select("id", "n", clean.alias("cells")).filter(filled(F.col("cells")) > 0))
     if "split" in found:  # a rank line and the line behind it are one row
         rank = (F.col("n") > 0) & (F.col("ne") == 1) & is_digits(first)
-        pairs = every.filter("layout = 'split'").withColumn("joins", rank & (F.coalesce(F.lead("ne").over(order), F.lit(0)) >= 3)).withColumn("gone", F.coalesce(F.lag("joins").over(order), F.lit(False))).withColumn("after", F.lead("cells").over(order))
+        order = Window.partitionBy("id", "seg").orderBy("n")
+        pairs = _with_edges(every.filter("layout = 'split'"), "n", 1, 1).withColumn("joins", rank & (F.coalesce(F.lead("ne").over(order), F.lit(0)) >= 3)).withColumn("gone", F.coalesce(F.lag("joins").over(order), F.lit(False))).withColumn("after", F.lead("cells").over(order))
         merged = F.when(F.col("joins"), F.concat(F.array(first), F.col("after"))).otherwise(F.col("cells"))
-        parts.append(pairs.filter("not gone").select("id", "n", F.when(F.col("n") == 0, F.col("cells")).otherwise(padded(merged, F.col("max_cols"))).alias("cells")))
+        parts.append(pairs.filter("own and not gone").select("id", "n", F.when(F.col("n") == 0, F.col("cells")).otherwise(padded(merged, F.col("max_cols"))).alias("cells")))
     if "spanning" in found:
         parts.append(_records(every, parity))
     # headers made from several lines come first
@@ -222,10 +280,11 @@ def parse_tables(texts: DataFrame, parity: bool = False) -> tuple[DataFrame, Dat
     body = parts[0]
     for part in parts[1:]:
         body = body.unionByName(part)
-    final = settle(body.select("id", (F.row_number().over(order) - 1).alias("row_no"), "cells"), "text-tables")
+    body = settle(body.select("id", F.col("n").cast("long").alias("n"), "cells"), "text-tables")
+    final = _numbered_by(body, "n", "row_no").select("id", F.col("row_no").cast("int").alias("row_no"), "cells")
 
     two = final.filter("row_no < 2").groupBy("id").agg(F.max(F.when(F.col("row_no") == 0, F.struct("cells"))).alias("a"), F.max(F.when(F.col("row_no") == 1, F.struct("cells"))).alias("b"))
-    counts = final.groupBy("id").agg(F.count("*").alias("num_rows"))
+    counts = body.groupBy("id").agg(F.count("*").alias("num_rows"))
     digits = lambda r: F.size(F.filter(r, lambda c: is_digits(c, ".-")))
     a, b = F.col("a.cells"), F.col("b.cells")
     plain_header = (digits(a) < digits(b)) & (digits(a) < F.size(a) * 0.5)

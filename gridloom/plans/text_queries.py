@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import chatcode
-from gridloom.operators import texttable
+from gridloom.operators import order, texttable
 from gridloom.plans.book import Book, table
 
 BOOK = Book()
@@ -75,13 +75,21 @@ def multiline_round_trip(spark, sf_dir):
     return data.join(meta.select("id", "layout"), "id").join(heads, "id")
 
 
-@BOOK.add()
+@BOOK.add(
+    """SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS row_no, 'spanning' AS layout, 'Title|Date|Director|Writer(s) - Story|Writer(s) - Screenplay|Producer|Composer' AS cells UNION ALL
+    SELECT 0, row_number() OVER (ORDER BY p_partkey), 'spanning',
+    p_name || '|May ' || CAST(p_size AS VARCHAR) || ', 2019|' || p_brand || '|' || p_type || '|Co-director:||' || p_type || CASE WHEN p_partkey % 3 = 0 THEN '; and others' ELSE '' END FROM part"""
+)
 def spanning_records(spark, sf_dir):
-    """Film-like records over two lines each, rendered from parts; the second line continues the first."""
-    part = table(spark, sf_dir, "part").withColumn("size", F.col("p_size"))
-    line = F.concat(F.concat_ws("\t", "p_name", F.concat(F.lit("May "), F.col("p_size").cast("string"), F.lit(", 2019")), "p_brand", "p_type"), F.lit("\nCo-director:\t"), F.col("p_brand"))
-    rows, meta = texttable.parse_tables(_texts(part, "size", "p_partkey", line, "Title\tDate\tDirector\tWriter(s)\tProducer\tComposer\tStudio\nStory\tScreenplay"))
-    return rows.join(meta, "id").select("id", "row_no", "layout", F.array_join("cells", "|").alias("cells"))
+    """All parts as one text of film-like records over two or three lines; the lines behind the first continue it."""
+    part = order.with_row_index(table(spark, sf_dir, "part"), [("p_partkey", True)])
+    first = F.concat_ws("\t", "p_name", F.concat(F.lit("May "), F.col("p_size").cast("string"), F.lit(", 2019")), "p_brand", "p_type")
+    said = F.array_compact(F.array(first, F.concat(F.lit("Co-director:\t"), F.col("p_type")), F.when(F.col("p_partkey") % 3 == 0, "\tand others")))
+    lines = part.select(F.col(order.ROW).alias("row"), F.posexplode(said).alias("k", "line"))
+    heads = spark.createDataFrame([(0, 0, "Title\tDate\tDirector\tWriter(s)\tProducer\tComposer\tStudio"), (0, 1, "Story\tScreenplay")], "row bigint, k int, line string")
+    numbered = order.with_row_index(heads.unionByName(lines), [("row", True), ("k", True)])
+    rows, meta = texttable.parse_lines(numbered.select(F.lit(0).cast("bigint").alias("id"), (F.col(order.ROW) - 1).alias("at"), "line"))
+    return rows.join(meta, "id").select("id", F.col("row_no").cast("bigint").alias("row_no"), "layout", F.array_join("cells", "|").alias("cells"))
 
 
 @BOOK.add(
