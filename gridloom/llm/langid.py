@@ -43,7 +43,8 @@ class Settings:
 @dataclass
 class Model:
     langs: list[str]
-    table: np.ndarray  # bucket -> logits, embeddings times softmax weights
+    embed: np.ndarray  # bucket -> embedding
+    weight: np.ndarray  # of the softmax, for an averaged embedding as it is
     bias: np.ndarray
     temperature: float
     least: float
@@ -51,6 +52,8 @@ class Model:
 
 #: Characters of a text that are held at once; a piece also sees the next ones that its last subwords reach.
 PIECE, REACH = 1 << 18, 3
+#: Scores of texts times languages that are held at once.
+LOGITS = 1 << 20
 
 
 def pieces(texts: list[str]) -> tuple[list[tuple[list[str], list[int]]], int]:
@@ -147,8 +150,8 @@ def train(rows: list, settings: Settings) -> Model | None:
             weight -= rate * np.outer(v, g) / (1 + v @ v)
             bias -= rate * 0.1 * g
             embed[ids] = mine - (rate * settings.scale * share)[:, None] * back
-    table = settings.scale * (embed @ weight)
-    logits = np.array([data[k][1] @ table[data[k][0]] + bias for k in (held if len(held) else fit)]) if data else np.zeros((0, len(langs)))
+    weight = settings.scale * weight
+    logits = np.array([(data[k][1] @ embed[data[k][0]]) @ weight + bias for k in (held if len(held) else fit)]) if data else np.zeros((0, len(langs)))
     wants = np.array([data[k][2] for k in (held if len(held) else fit)], int)
     temperature, least = 1.0, 0.0
     if len(wants):
@@ -161,7 +164,7 @@ def train(rows: list, settings: Settings) -> Model | None:
         share = np.cumsum(right[by_score]) / np.arange(1, len(wants) + 1)
         enough = np.flatnonzero(share >= settings.keep_right)
         least = float(score[by_score[enough[-1]]]) if len(enough) else 1.0
-    return Model(langs, table.astype(np.float32), bias, temperature, least)
+    return Model(langs, embed, weight, bias, temperature, least)
 
 
 def drawn(docs: DataFrame, learn: Column, settings: Settings) -> DataFrame:
@@ -187,26 +190,34 @@ def fit(docs: DataFrame, learn: Column, settings: Settings = Settings()) -> Mode
     return train(count_subwords(drawn(docs, learn, settings)).collect(), settings)  # at most settings.sample rows of a few kB
 
 
+def scored(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the likeliest language, its score, and letters of each text."""
+    n, width = len(texts), max(1, LOGITS // len(model.langs))
+    best, score, letters = np.zeros(n, int), np.zeros(n), np.zeros(n, np.int64)
+    sums, total = np.zeros((n, model.embed.shape[1])), np.zeros(n)
+    for parts, who in pieces(texts)[0]:
+        found, starts, some = subwords(parts)
+        np.add.at(letters, who, some)
+        for h, good in found:
+            rows = model.embed[h]
+            rows[~good] = 0
+            np.add.at(sums, who, np.add.reduceat(rows, starts, axis=0, dtype=np.float64))
+            np.add.at(total, who, np.add.reduceat(good.astype(np.int64), starts))
+    mean = sums / np.maximum(total, 1)[:, None]
+    for at in range(0, n, width):  # languages come in once a text, not once a subword
+        some = slice(at, at + width)
+        p = softmax((mean[some] @ model.weight + model.bias) / model.temperature)
+        best[some], score[some] = p.argmax(axis=1), np.where(letters[some] > 0, p.max(axis=1), 0.0)
+    return best, score, letters
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text"):
-            n = batch.num_rows
-            score, best = np.zeros(n), np.zeros(n, int)
-            letters = np.zeros(n, np.int64)
-            if model is not None:
-                logits, total = np.zeros((n, len(model.langs))), np.zeros(n)
-                for texts, who in pieces(batch.column("text").to_pylist())[0]:
-                    found, starts, some = subwords(texts)
-                    np.add.at(letters, who, some)
-                    for h, good in found:
-                        rows = model.table[h]
-                        rows[~good] = 0
-                        np.add.at(logits, who, np.add.reduceat(rows, starts, axis=0, dtype=np.float64))
-                        np.add.at(total, who, np.add.reduceat(good.astype(np.int64), starts))
-                p = softmax((logits / np.maximum(total, 1)[:, None] + model.bias) / model.temperature)
-                best, score = p.argmax(axis=1), np.where(letters > 0, p.max(axis=1), 0.0)
+            none = np.zeros(batch.num_rows, int)
+            best, score, letters = scored(batch.column("text").to_pylist(), model) if model is not None else (none, none.astype(float), none)
             names = [model.langs[b] if has else "und" for b, has in zip(best, letters > 0)]
             rejected = score < (model.least if model else 1.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])

@@ -246,7 +246,7 @@ def test_language_of_odd_rows(spark):
 
 def language_by_force(text, model):
     """Logits of one text, subword by subword."""
-    factors, total, n = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.zeros(len(model.langs)), 0
+    factors, total, n = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.zeros(model.embed.shape[1]), 0
     text = text.lower() + "\n"
     is_letter = [unicodedata.category(c).startswith("L") for c in text]
     code = [ord(c) if ok else 32 for c, ok in zip(text, is_letter)]
@@ -256,9 +256,9 @@ def language_by_force(text, model):
             if not (here[0] if size == 1 else any(here) if size == 2 else all(here[1:-1])):
                 continue
             h = sum(code[at + k] * factors[k] for k in range(size)) * (0x9E3779B1 + 2 * size) & 0xFFFFFFFF
-            total += model.table[h >> 17]
+            total += model.embed[h >> 17]
             n += 1
-    z = (total / max(n, 1) + model.bias) / model.temperature
+    z = (total / max(n, 1) @ model.weight + model.bias) / model.temperature
     return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
 
 
@@ -284,6 +284,22 @@ def test_language_scores_equal_plain_loops(spark, tiny, monkeypatch):
         assert (found[0] == found[1]).all()
 
 
+def test_memory_of_a_prediction_does_not_grow_with_languages():
+    import tracemalloc
+
+    rng, peaks = np.random.default_rng(5), []
+    texts = ["".join(rng.choice(list("abcdefg hij"), 400_000)), *["some text"] * 3000]
+    for n in (4, 1000):
+        model = langid.Model([f"lang {k}" for k in range(n)], rng.normal(size=(langid.BUCKETS, 8)).astype(np.float32), rng.normal(size=(8, n)).astype(np.float32), np.zeros(n, np.float32), 1.0, 0.0)
+        langid.scored(["warm up"], model)
+        tracemalloc.start()
+        best, score, letters = langid.scored(texts, model)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(set(best[1:])) == 1 and (score > 0).all() and (letters > 0).all()
+    assert peaks[1] < peaks[0] + 4 * 8 * langid.LOGITS
+
+
 def test_more_languages_than_the_sample_are_drawn_without_a_broadcast(spark):
     df = spark.createDataFrame([(i, f"text {i}", f"lang {i % 5}") for i in range(50)], "doc_id long, text string, lang string")
     few, many = (langid.drawn(df, F.lit(True), langid.Settings(sample=n)) for n in (3, 5))
