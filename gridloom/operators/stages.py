@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.operators.edit import append_relaxed
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -184,6 +186,22 @@ class Workbook:
         source.branches.append(new)
         return self._register(Stage(new, source.df, list(source.steps), [], name, dict(source.parameters), source.source))
 
+    def paste(self, name: str, rows: DataFrame, mode: str = "replace") -> Stage:
+        """Pasted rows take the place of a sheet's, whose steps end with them, go behind them as a step, or are a ``new`` sheet."""
+        if mode == "new":
+            return self.add(name, rows)
+        stage = self.get(name)
+        if mode == "append":
+            if stage.df is None:
+                raise ValueError("No data to append to")
+            self.apply(name, lambda df: append_relaxed(df, rows), "paste")
+        elif mode == "replace":
+            stage.df, stage.source, stage.steps = rows, rows, []
+            rows.createOrReplaceTempView(name)
+        else:
+            raise ValueError(f"Unknown mode: {mode}")
+        return stage
+
     def remove(self, name: str) -> None:
         gone = self.get(name)
         if gone.parent in self.stages:

@@ -20,6 +20,16 @@ def extract_number(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", types.number_in_text(F.col("p_brand")).alias("number"))
 
 
+@BOOK.add(
+    """SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN -p_size END AS BIGINT) AS whole, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN -p_size WHEN 2 THEN p_size + 0.25 END AS number FROM part"""
+)
+def extracted_columns(spark, sf_dir):
+    """The first numbers of a column of texts as whole numbers, empty where there is a fraction, and as fractions."""
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("size "), size, F.lit(" of 99"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("~-"), size, F.lit("cm"))).when(F.col("p_partkey") % 4 == 2, F.concat(size, F.lit(".25 inches"))).otherwise("none")
+    return table(spark, sf_dir, "part").select("p_partkey", types.extract_numbers(text, "integer").alias("whole"), types.extract_numbers(text, "float").alias("number"))
+
+
 @BOOK.add(
     rf"""WITH t AS (SELECT 'c_mktsegment' AS "column", c_mktsegment AS v FROM customer UNION ALL SELECT 'c_name', c_name FROM customer)
     SELECT "column", avg(CASE WHEN regexp_matches(v, '{PATTERN}') THEN 1.0 ELSE 0.0 END) AS share,

@@ -76,6 +76,34 @@ def delete_last_column(spark, sf_dir):
     return edit.delete_column(edit.delete_column(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), 1), 0)
 
 
+@BOOK.add(
+    """SELECT 'replaced' AS sheet, CAST(s_suppkey AS DOUBLE) AS key, s_name AS name, 0 AS steps FROM supplier UNION ALL SELECT 'appended', c_custkey, c_name, 2 FROM customer WHERE c_custkey > 10
+    UNION ALL SELECT 'appended', s_suppkey + 0.5, s_name, 2 FROM supplier UNION ALL SELECT 'fresh', s_suppkey, s_name, 0 FROM supplier"""
+)
+def pasted_rows(spark, sf_dir):
+    """Rows pasted over a sheet, behind the rows of one, whose keys become fractions, and as a sheet of their own."""
+    customer, supplier = table(spark, sf_dir, "customer").selectExpr("c_custkey as key", "c_name as name"), table(spark, sf_dir, "supplier").selectExpr("s_suppkey as key", "s_name as name")
+    book = stages.Workbook(spark)
+    for name in ("replaced", "appended"):
+        book.add(name, customer)
+        book.apply(name, lambda df: df.filter("key > 10"), "without the first", track=False)
+    book.paste("replaced", supplier)
+    book.paste("appended", supplier.selectExpr("key + double(0.5) as key", "name"), "append")
+    book.paste("fresh", supplier, "new")
+    found = [s.df.select(F.lit(n).alias("sheet"), F.col("key").cast("double").alias("key"), "name", F.lit(len(s.steps)).alias("steps")) for n, s in book.stages.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@BOOK.add("""SELECT column_name AS "column", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' ELSE 'timestamp' END AS type, 0 AS empty FROM (DESCRIBE SELECT *, o_totalprice > 5 AS dear FROM orders) WHERE column_name <> 'dear' UNION ALL SELECT 'dear', 'boolean', 0""")
+def sheet_schema(spark, sf_dir):
+    """A sheet's columns after a step, beside a sheet without data, which has none."""
+    book = stages.Workbook(spark)
+    book.add("orders", table(spark, sf_dir, "orders"))
+    book.apply("orders", "SELECT *, o_totalprice > 5 AS dear FROM {df}", track=False)
+    empty = len(book.add("empty").schema())
+    return spark.createDataFrame([(c, k.removesuffix("_ntz"), empty) for c, k in book.get("orders").schema().items()], "column string, type string, empty int")
+
+
 @BOOK.add("SELECT c_custkey AS customer_id, c_name FROM customer")
 def rename_column(spark, sf_dir):
     return edit.rename_column(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", "customer_id")
@@ -125,6 +153,19 @@ def fitted_values(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", edit.fitted(text, T.LongType()).alias("fitted"))
 
 
+@BOOK.add(
+    """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey + 0.75 WHEN 3 THEN -o_orderkey - 0.5 END AS number,
+    CASE WHEN o_orderkey % 3 = 0 THEN TRUE WHEN o_orderkey % 3 = 1 THEN FALSE END AS flag, CASE WHEN o_orderkey % 5 <> 2 THEN CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 3 THEN '-' ELSE 'word ' END
+    || CAST(o_orderkey AS VARCHAR) || CASE o_orderkey % 5 WHEN 1 THEN '.75' WHEN 3 THEN '.5' ELSE '' END END AS words FROM orders"""
+)
+def fitted_kinds(spark, sf_dir):
+    """Texts as cells of columns of fractions, flags and texts; blank ones and words among numbers are empty."""
+    orders, key, kind = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 5
+    text = F.when(kind == 0, key).when(kind == 1, F.concat(key, F.lit(".75"))).when(kind == 2, " ").when(kind == 3, F.concat(F.lit("-"), key, F.lit(".5"))).otherwise(F.concat(F.lit("word "), key))
+    flag = F.when(F.col("o_orderkey") % 3 == 0, "Yes").when(F.col("o_orderkey") % 3 == 1, "false").otherwise("")
+    return orders.select("o_orderkey", edit.fitted(text, T.DoubleType()).alias("number"), edit.fitted(flag, T.BooleanType()).alias("flag"), edit.fitted(text, T.StringType()).alias("words"))
+
+
 @BOOK.add("SELECT CAST(c_custkey AS VARCHAR) AS key, c_acctbal AS amount FROM customer UNION ALL SELECT s_name, CAST(s_nationkey AS DOUBLE) FROM supplier")
 def append_relaxed(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("amount"))

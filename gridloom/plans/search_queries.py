@@ -12,6 +12,14 @@ BOOK = Book()
 NUMERIC = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+@BOOK.add("SELECT row_number() OVER (ORDER BY o_orderkey) AS _row, o_orderkey, o_totalprice FROM orders ORDER BY 1 LIMIT 1000")
+def page_after_reset(spark, sf_dir):
+    """The first page of a table that was sorted by price and then put back into its own order."""
+    indexed = order.with_row_index(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [("o_orderkey", True)])
+    back = order.reset(order.sort(indexed, [("o_totalprice", False), ("o_orderkey", True)]))
+    return back.limit(order.PAGE)
+
+
 @BOOK.add("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def find_equals(spark, sf_dir):
     return search.find(table(spark, sf_dir, "orders"), "o_orderstatus", "equals", "F").select("o_orderkey", "o_orderstatus")

@@ -127,9 +127,26 @@ def patched_files(spark, sf_dir):
     return held.read()
 
 
-@BOOK.add("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation")
+@BOOK.add("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
 def all_as_text(spark, sf_dir):
-    return files.as_text(table(spark, sf_dir, "nation"))
+    return files.as_text(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
+
+
+@BOOK.add(
+    """SELECT 'part' AS table_name, p_size AS size, count(*) AS n, (SELECT least(count(*), 1000) FROM part) AS shown FROM part GROUP BY 2
+    UNION ALL SELECT 'orders', o_custkey % 7, count(*), (SELECT least(count(*), 1000) FROM orders) FROM orders GROUP BY 2"""
+)
+def catalog_tables(spark, sf_dir):
+    """Tables of the catalog that carry this run's mark, found in the list of tables, each fetched as a whole and previewed."""
+    mark, sources = uuid.uuid4().hex, {"part": F.col("p_size"), "orders": F.col("o_custkey") % 7}
+    for name, size in sources.items():
+        tables.write_table(table(spark, sf_dir, name).select(size.cast("bigint").alias("size")), f"{name}_{mark}")
+    found = None
+    for name in tables.list_tables(spark):
+        if name.endswith(mark):
+            rows = tables.fetch_table(spark, name).groupBy("size").agg(F.count("*").alias("n")).select(F.lit(name.removesuffix(f"_{mark}")).alias("table_name"), "size", "n", F.lit(tables.preview(spark, name).count()).cast("bigint").alias("shown"))
+            found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @BOOK.add("SELECT 'lineitem' AS table_name, count(*) AS rows, 'preview not available' AS status FROM lineitem")
@@ -169,7 +186,11 @@ def checked_source(spark, sf_dir):
     return files.load(spark, path).groupBy("p_size").agg(F.count("*").alias("n")).withColumn("missing", F.lit(missing))
 
 
-@BOOK.add("""SELECT column_name AS "column" FROM (DESCRIBE events)""")
+@BOOK.add(
+    """SELECT column_name AS "column", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp' END AS type, TRUE AS nullable FROM (DESCRIBE events)
+    UNION ALL SELECT 'n', 'int', FALSE"""
+)
 def described_columns(spark, sf_dir):
-    table(spark, sf_dir, "events").createOrReplaceTempView("described_events")
-    return spark.createDataFrame([(c,) for c in tables.describe(spark, "described_events")], "column string")
+    """Names, types and nullability of a table's columns; one that is never null is among them."""
+    table(spark, sf_dir, "events").withColumn("n", F.lit(1)).createOrReplaceTempView("described_events")
+    return spark.createDataFrame([(c, f["type"].removesuffix("_ntz"), f["nullable"]) for c, f in tables.describe(spark, "described_events").items()], "column string, type string, nullable boolean")
