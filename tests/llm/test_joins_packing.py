@@ -206,6 +206,18 @@ def test_a_node_of_many_members_is_cut_and_still_meets_its_first(spark, monkeypa
     assert known.count() == 0
 
 
+def test_lists_stay_short_where_all_meet_a_node_s_first(spark):
+    # the first one in the order of labels has the greatest nid, and all meet it
+    settings = ngram_join.Settings(share=100)
+    df = spark.createDataFrame([(k, b"\1" * 128, [5 << 12 | (k < 599) << 8]) for k in range(600)], "nid long, sig binary, labels array<long>")
+    members = ngram_join.trie_members(df, settings).join(df.select("nid", "sig"), "nid").withColumn("root", F.col("nid"))
+    lists = {r.a: [x.b for x in r.near] for r in ngram_join.met_lists(members, [12], settings.beside, settings).collect()}
+    assert all(len(near) <= 2 * settings.beside + 2 and len(set(near)) == len(near) for near in lists.values())
+    pairs = [(r.a, r.b) for r in ngram_join.ties(members, [12], settings.beside, settings).collect()]
+    assert sorted(pairs) == sorted({(max(a, b), min(a, b)) for a, near in lists.items() for b in near})
+    assert sum(a == 599 for a, _ in pairs) == 599
+
+
 def test_links_at_the_threshold_are_found(spark):
     """5,000 pairs at 0.80 to 0.82; half of the texts have a copy at 0.98 beside them."""
     pairs, docs = 5000, []
