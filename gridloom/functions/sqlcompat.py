@@ -68,15 +68,23 @@ def replace_first(text: Column, pattern: str, new: str) -> Column:
     return F.regexp_replace(text, f"(?s)^(.*?)(?:{pattern})", "$1" + new.replace("\\", "\\\\").replace("$", "\\$"))
 
 
-def compact(number: Column) -> Column:
-    """``999``, ``1.2K``, ``3.4M``, ``5.6B``; 999.95 of a unit goes to the next."""
+def compact(number: Column, units: str = "KMB") -> Column:
+    """``999``, ``1.2K``, ``3.4M``, ``5.6B``; 999.95 of a unit goes to the next one in ``units``."""
     n = number.cast("double")
     text = n.cast("bigint").cast("string")
-    for size, unit in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
+    for size, unit in zip((1e3, 1e6, 1e9), units):
         least = size if unit == "K" else size * 0.99995
         text = F.when(n >= least, F.concat(F.format_string("%.1f", F.round(n / size, 1)), F.lit(unit))).otherwise(text)
     return text
 
 
+def exact_sum(number: Column) -> Column:
+    """The sum of doubles that doesn't depend on the order of rows: of their decimals, rounded once. Values that ten decimals don't hold are
+    summed as doubles."""
+    decimal = number.try_cast("decimal(28,10)")
+    held = F.count(F.when(decimal.cast("double") == number, 1)) == F.count(number)
+    return F.when(held, F.try_sum(decimal).cast("double")).otherwise(F.sum(number))
+
+
 def dimensions(rows: int, columns: int) -> str:
     return f"{rows:,} rows, {columns} columns"
