@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from gridloom.functions import sqlcompat
+from gridloom.operators import texttable
 from gridloom.plans import registry
 
 
@@ -26,3 +27,17 @@ def test_exact_sum_of_values_that_decimals_do_not_hold(spark):
     df = spark.createDataFrame([(1, 0.1), (1, 0.2), (2, 1e-12), (2, 1e-12), (3, 1e30), (4, float("inf")), (5, None)], "k int, x double")
     got = {r.k: r.s for r in df.groupBy("k").agg(sqlcompat.exact_sum(F.col("x")).alias("s")).collect()}
     assert got == {1: 0.3, 2: 2e-12, 3: 1e30, 4: float("inf"), 5: None}
+
+
+def test_text_round_trip_of_one_long_text(spark, tmp_path, monkeypatch):
+    """All customers of a nation are one text, also where it is longer than a stretch."""
+    monkeypatch.setattr(texttable, "SEGMENT", 128)
+    customers = spark.range(700).select(
+        F.col("id").alias("c_custkey"), F.when(F.col("id") < 600, 3).otherwise(F.col("id") % 7).cast("int").alias("c_nationkey"), F.concat(F.lit("Customer "), F.col("id").cast("string")).alias("c_name"), F.lit("BUILDING").alias("c_mktsegment")
+    )
+    customers.repartition(5).write.parquet(str(tmp_path / "customer.parquet"))
+    got = registry.QUERIES["text_round_trip"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLES["text_round_trip"]).fetchall())
+    assert max(r.row_no for r in got if r.id == 3) > 600
