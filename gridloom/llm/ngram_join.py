@@ -9,7 +9,11 @@
    recall is simulated); only ties between texts not yet in one class are estimated and verified.
 4. Connected components of the verified ties are the classes. So texts that are merely somewhat alike, as pages of one template, are
    never gathered, and a class costs ties in proportion to its texts.
-5. For the number of links, the texts of a class meet in cells of two blocks of at most ``block`` texts, so that no class falls to one task;
+5. Nodes with more members than neighbours meet all, and of more than one class, are then compared in full, in cells of two blocks: texts that
+   hang together by likely pairs of different classes form a crowd, and in a crowd every pair of texts of different classes is verified on the
+   shingle sets. So no pair that meets in a node is left out, however crowded; the cost is quadratic in the texts of a crowd outside its
+   largest class.
+6. For the number of links, the texts of a class meet in cells of two blocks of at most ``block`` texts, so that no class falls to one task;
    a cell gives back one count for each text.
 
 Null texts and texts without words have no shingles and no links (equal ones are copies of one another). A text of fewer than five words
@@ -20,7 +24,7 @@ repeats with other texts, each row has its own class. Extra columns are not look
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,6 +56,8 @@ class Settings:
     #: prefix, where no class is known yet, one neighbour does.
     share: int = 4096
     beside: int = 24
+    #: Texts in a block of a crowded node.
+    crowd: int = 512
     seed: int = 17
     #: Simulated pairs that the prefix length is taken from.
     draws: int = 100_000
@@ -266,6 +272,101 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     return cells.mapInArrow(run, "a bigint, b bigint, likeness double")
 
 
+def dealt(rows: DataFrame, group: list[str], block: int) -> DataFrame:
+    """``rows`` (group, nid, root, ...) of groups with several roots, once for each cell (group, i, j): the pairs of side i with side j, or within i
+    where i = j. Every pair of different roots has its cell: texts of the group's largest root meet the others alone, those meet all."""
+    roots = rows.groupBy(*group, "root").count().groupBy(*group)
+    facts = roots.agg(F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("top")).filter("n > top.count")
+    blocks_of = lambda n: F.ceil(n / block).cast("int")
+    facts = facts.select(*group, F.col("top.root").alias("main"), blocks_of(F.col("n") - F.col("top.count")).alias("others"), blocks_of(F.col("top.count")).alias("own"))
+    most, spread = F.col("root") == F.col("main"), F.xxhash64("nid")
+    side = F.when(most, F.col("others") + F.pmod(spread, F.col("own"))).otherwise(F.pmod(spread, F.col("others"))).cast("int")
+    meets = F.sequence(F.lit(0), F.when(most, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1)
+    placed = rows.join(facts, group).withColumn("side", side).withColumn("other", F.explode(meets))
+    placed = placed.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("main", "others", "own", "other")
+    return placed.repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j", "nid")
+
+
+def _pairs_in_cells(cells: DataFrame, group: list[str], data: str, work: Callable[..., tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): what ``work`` finds in each cell from nids, roots, ``data`` as bytes, and the places of both sides, which are one where i = j."""
+    names = [*group, "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nids, roots, sides, held = None, [], [], [], []
+
+        def done() -> pa.RecordBatch:
+            side = np.array(sides)
+            left = np.flatnonzero(side == key[-2])
+            a, b = work(np.array(nids), np.array(roots), held, left, left if key[-2] == key[-1] else np.flatnonzero(side == key[-1]))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*[batch.column(c).to_pylist() for c in names])
+            columns = [batch.column(c).to_pylist() for c in ("nid", "root", "side")]
+            for mine, nid, root, side, value in zip(keys, *columns, batch.column(data)):
+                if key != mine:
+                    if key is not None:
+                        yield done()
+                    key, nids, roots, sides, held = mine, [], [], [], []
+                nids.append(nid), roots.append(root), sides.append(side), held.append(value.as_py())
+        if key is not None:
+            yield done()
+
+    return cells.mapInArrow(run, "a bigint, b bigint")
+
+
+def crowds(members: DataFrame, neighbours: int, settings: Settings) -> DataFrame:
+    """(nid, crowd) of the texts with a likely pair of different roots in nodes of more members than ``neighbours`` let meet all. Such pairs are in
+    one crowd. ``members`` has (nid, tree, label, sig, root)."""
+
+    def hang(nids: np.ndarray, roots: np.ndarray, held: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sigs = np.frombuffer(b"".join(held), np.uint8).reshape(len(held), -1)
+        every, within = np.arange(len(nids)), left is right
+        least = every.copy()  # of what hangs together so far
+        for a in left:
+            far = right[(roots[right] != roots[a]) & ((right > a) if within else True)]
+            near = far[np.count_nonzero(sigs[far] == sigs[a], axis=1) >= settings.loose * settings.values]
+            if len(near):
+                met = np.append(least[near], least[a])
+                least[np.isin(least, met)] = met.min()
+        tied = np.flatnonzero(least != every)
+        return nids[tied], nids[least[tied]]
+
+    rows = members.select("tree", F.shiftright("label", 12).alias("prefix"), "nid", "root", "sig")
+    crowded = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")).filter(f"n > {neighbours + 1} and first <> last")
+    rows = settle(rows.join(crowded.select("tree", "prefix"), ["tree", "prefix"]), "ngram-crowded")
+    tied = _pairs_in_cells(dealt(rows, ["tree", "prefix"], settings.crowd), ["tree", "prefix"], "sig", hang)
+    return components(tied).select(F.col("node").alias("nid"), F.col("root").alias("crowd"))
+
+
+def linked_roots(held: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): roots with a link between texts of one crowd, from (crowd, nid, root, hashes); all pairs of different roots are verified."""
+
+    def verify(nids: np.ndarray, roots: np.ndarray, held: list[bytes], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sets, within = [np.frombuffer(h, np.uint64) for h in held], left is right
+        sizes = np.array([len(x) for x in sets])
+        distinct, number = np.unique(np.concatenate(sets), return_inverse=True)
+        begin = np.cumsum(sizes) - sizes
+        right = right[sizes[right] > 0]
+        found = [np.zeros((0, 2), np.int64)]
+        if len(right):
+            flags = np.zeros(len(distinct), bool)
+            shingles = np.concatenate([number[begin[r] : begin[r] + sizes[r]] for r in right])
+            at = np.cumsum(sizes[right]) - sizes[right]
+            for a in left[sizes[left] > 0]:
+                mine = number[begin[a] : begin[a] + sizes[a]]
+                flags[mine] = True
+                both = np.add.reduceat(flags[shingles].astype(np.int32), at)
+                flags[mine] = False
+                hit = (both >= settings.similarity * (sizes[a] + sizes[right] - both) - 1e-9) & (roots[right] != roots[a])
+                to = np.unique(roots[right[hit & ((right > a) if within else True)]])
+                found.append(np.stack([np.maximum(to, roots[a]), np.minimum(to, roots[a])], axis=1))
+        a, b = np.unique(np.concatenate(found), axis=0).T
+        return a, b
+
+    return _pairs_in_cells(dealt(held, ["crowd"], settings.block), ["crowd"], "hashes", verify).distinct()
+
+
 def counted(cells: DataFrame, settings: Settings) -> DataFrame:
     """(nid, links) for each text of each cell: its links in the cell.
 
@@ -348,6 +449,14 @@ def linked(classes: DataFrame, texts: DataFrame, settings: Settings) -> tuple[Da
     rest = settle(short.unionByName(left).distinct(), "ngram-short")
     more = confirmed(rest, sets, settings)
     edges = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b"))
+    joined = settle(components(edges), "ngram-joined")
+    # in nodes where not all have met, all pairs that are of different classes still
+    named = joined.select(F.col("node").alias("nid"), F.col("root").alias("class"))
+    classed = known.drop("root").join(named, "nid", "left").withColumn("root", F.coalesce("class", "nid")).drop("class")
+    crowd = crowds(classed, settings.beside, settings)
+    held = crowd.join(named, "nid", "left").select("crowd", "nid", F.coalesce("class", "nid").alias("root")).join(sets, "nid")
+    late = linked_roots(settle(held, "ngram-crowds"), settings)
+    edges = joined.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late)
     return settle(components(edges), "ngram-linked"), sets
 
 
