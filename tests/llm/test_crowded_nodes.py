@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gridloom.llm import ngram_join
 from gridloom.llm.shared import settle
 
@@ -62,3 +63,16 @@ def test_every_pair_of_different_roots_has_one_cell(spark):
     met = [tuple(sorted((a.nid, b.nid))) for (_, i, j), held in cells.items() for a in held for b in held if a.side == i and b.side == j and (a.nid < b.nid or i != j) and a.root != b.root]
     assert sorted(met) == sorted({tuple(sorted((a[1], b[1]))) for a in members for b in members if a[0] == b[0] and a[2] != b[2]})
     assert all(len(held) <= 60 for held in cells.values())
+
+
+def test_pipeline_drops_near_copies_in_a_crowded_node(spark, monkeypatch):
+    def alike(docs, settings):
+        return docs.select("doc_id", "digest", F.lit(b"\1" * settings.values).alias("sig"), F.array(F.lit(5 << 12).cast("long")).alias("labels"))
+
+    monkeypatch.setattr(ngram_join, "signatures", alike)
+    texts = [text(k) for k in range(200)]
+    for a, b in ((60, 20), (150, 60), (199, 100)):  # 150 by way of 60
+        texts[a] = near(texts[b], a)
+    df = spark.createDataFrame([(k, " ".join(t), "en", "web", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df.coalesce(1), "").collect()}
+    assert kept == set(range(200)) - {60, 150, 199}
