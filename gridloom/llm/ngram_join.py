@@ -13,7 +13,10 @@
    hang together by likely pairs of different classes form a crowd, and in a crowd every pair of texts of different classes is verified on the
    shingle sets. So no pair that meets in a node is left out, however crowded; the cost is quadratic in the texts of a crowd outside its
    largest class.
-6. For the number of links, the texts of a class meet in cells of two blocks of at most ``block`` texts, so that no class falls to one task;
+6. What is left are pairs that meet in no node, or whose likeness was estimated too low. A prefix filter finds them without chance: two texts at the
+   threshold share a shingle among the first fifth of both in any one order of all shingles. Texts of different classes (and of no crowd in
+   common) that share one there, and whose sizes and places allow the threshold, are verified too. So no link is lost.
+7. For the number of links, the texts of a class meet in cells of two blocks of at most ``block`` texts, so that no class falls to one task;
    a cell gives back one count for each text.
 
 Null texts and texts without words have no shingles and no links (equal ones are copies of one another). A text of fewer than five words
@@ -29,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +60,12 @@ class Settings:
     #: prefix, where no class is known yet, one neighbour does.
     share: int = 4096
     beside: int = 24
-    #: Texts in a block of a crowded node.
+    #: Texts in a block of a crowded node, or of the texts that share a shingle of their prefixes.
     crowd: int = 512
+    #: Shingles that come last in the order that prefixes are cut from: the most frequent ones of those that a stretch of texts holds ``often``.
+    #: Any order finds all pairs; with frequent shingles last, fewer texts share one.
+    last: int = 1 << 16
+    often: int = 4
     seed: int = 17
     #: Simulated pairs that the prefix length is taken from.
     draws: int = 100_000
@@ -226,40 +234,65 @@ def ties(members: DataFrame, cuts: list[int], neighbours: int, settings: Setting
     return rows.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "estimate").distinct()
 
 
+def _distinct_shingles(texts: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of each text behind one another, and the number of each one's text."""
+    data, offsets = text_bytes(texts)
+    hashes, owner = shingle_hashes(data, offsets, settings.size)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], owner[new]
+
+
 def shingle_sets(texts: DataFrame, settings: Settings) -> DataFrame:
     """(nid, hashes): the sorted distinct shingle hashes of (nid, text) as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 19):
-            data, offsets = text_bytes(batch.column("text"))
-            hashes, owner = shingle_hashes(data, offsets, settings.size)
-            order = np.lexsort((hashes, owner))
-            hashes, owner = hashes[order], owner[order]
-            new = np.ones(len(hashes), bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-            hashes, owner = hashes[new], owner[new]
+            hashes, owner = _distinct_shingles(batch.column("text"), settings)
             at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array([hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["nid", "hashes"])
 
     return texts.mapInArrow(run, "nid bigint, hashes binary")
 
 
+def shingle_parts(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(nid, hashes, left): of each text's shingle hashes those in the lowest eighth of all numbers, and how many others it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 1 << 19):
+            hashes, owner = _distinct_shingles(batch.column("text"), settings)
+            low, n = hashes < np.uint64(1 << 61), batch.num_rows
+            left = np.bincount(owner[~low], minlength=n)
+            hashes, owner = hashes[low], owner[low]
+            at = np.searchsorted(owner, np.arange(n + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array([hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()), pa.array(left)], ["nid", "hashes", "left"])
+
+    return texts.mapInArrow(run, "nid bigint, hashes binary, left bigint")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b, likeness) of the pairs whose exact likeness reaches the threshold. A text b with many partners has them in parts of ``block``."""
+    """(a, b, likeness) of the pairs whose exact likeness reaches the threshold. A text b with many partners has them in parts of ``block``.
+
+    Of parts of sets, with ``left`` shingles beside them, the likeness is the greatest possible one: no pair at the threshold is left out."""
+    sets = sets if "left" in sets.columns else sets.withColumn("left", F.lit(0).cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, mine = None, None
+        centre, mine, more = None, None, 0
         for batch in batches:
             found = []
-            for b, nid, hashes in zip(batch.column("b").to_pylist(), batch.column("nid").to_pylist(), batch.column("hashes")):
+            for b, nid, hashes, left in zip(*[batch.column(c).to_pylist() for c in ("b", "nid")], batch.column("hashes"), batch.column("left").to_pylist()):
                 theirs = np.frombuffer(hashes.as_buffer(), np.uint64)
                 if nid == b:
-                    centre, mine = b, theirs
-                elif centre == b and len(mine) and len(theirs):
-                    at = np.searchsorted(mine, theirs)
-                    at[at == len(mine)] = 0
-                    both = int((mine[at] == theirs).sum())
-                    either = len(mine) + len(theirs) - both
+                    centre, mine, more = b, theirs, left
+                elif centre == b and len(mine) + more and len(theirs) + left:
+                    both = min(more, left)
+                    if len(mine):
+                        at = np.searchsorted(mine, theirs)
+                        at[at == len(mine)] = 0
+                        both += int((mine[at] == theirs).sum())
+                    either = len(mine) + more + len(theirs) + left - both
                     if both >= settings.similarity * either - 1e-9:
                         found.append((nid, b, both / either))
             a, b, likeness = zip(*found) if found else ((), (), ())
@@ -268,7 +301,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / settings.block).cast("int").alias("parts"))
     placed = settle(pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")), "ngram-cells")  # read twice
     rows = placed.select("b", "part", F.col("a").alias("nid")).unionByName(placed.select("b", "part", F.col("b").alias("nid")).distinct())
-    cells = rows.join(sets, "nid").select("b", "part", "nid", "hashes").repartition("b", "part").sortWithinPartitions("b", "part", "nid")  # b is the least
+    cells = rows.join(sets, "nid").select("b", "part", "nid", "hashes", "left").repartition("b", "part").sortWithinPartitions("b", "part", "nid")  # b is the least
     return cells.mapInArrow(run, "a bigint, b bigint, likeness double")
 
 
@@ -367,6 +400,129 @@ def linked_roots(held: DataFrame, settings: Settings) -> DataFrame:
     return _pairs_in_cells(dealt(held, ["crowd"], settings.block), ["crowd"], "hashes", verify).distinct()
 
 
+def frequent(texts: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most ``last`` frequent shingles, and how often stretches of a million shingles hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def done() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            many = counts >= settings.often
+            return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])], ["shingle", "n"])
+
+        for batch in blocks(batches, "text", 1 << 19):
+            held.append(shingle_hashes(*text_bytes(batch.column("text")), settings.size)[0])
+            if sum(len(x) for x in held) >= 1 << 20:
+                yield done()
+                held = []
+        if held:
+            yield done()
+
+    counts = texts.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(settings.last).collect()  # bounded
+    hashes, n = np.array([r.shingle for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefixes(texts: DataFrame, settings: Settings) -> DataFrame:
+    """(shingle, key, size, place) of (key, text): the first shingles of each text in one order of all, so many that two texts at the threshold
+    share one of them; ``size`` counts all shingles of the text, ``place`` from 0. Of a shingle's hash 40 bits go on: more can only meet by that."""
+    late, weights = frequent(texts, settings)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "text", 1 << 19):
+            hashes, owner = _distinct_shingles(batch.column("text"), settings)
+            weight = np.zeros(len(hashes), np.int64)
+            if len(late):
+                at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
+                weight = np.where(late[at] == hashes, weights[at], 0)
+            order = np.lexsort((hashes, weight, owner))
+            sizes = np.bincount(owner, minlength=batch.num_rows)
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            least = np.ceil(settings.similarity * sizes - 1e-9).astype(np.int64)  # that two texts at the threshold share
+            kept = place <= np.repeat(sizes - least, sizes)
+            keys = batch.column("key").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((hashes[order][kept] >> np.uint64(24)).view(np.int64)), pa.array(keys[owner[kept]]), pa.array(sizes[owner[kept]].astype(np.int32)), pa.array(place[kept].astype(np.int32))],
+                ["shingle", "key", "size", "place"],
+            )
+
+    return texts.mapInArrow(run, "shingle bigint, key bigint, size int, place int")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Tables of many rows in which each group of equal ``names``, which are sorted, is whole: the last one waits for its end."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < HAND:
+            continue
+        table = pa.Table.from_batches(held)
+        differ = np.logical_or.reduce([x != x[-1] for x in (table.column(c).to_numpy() for c in names)])
+        cut = int(np.flatnonzero(differ)[-1]) + 1 if differ.any() else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _fitting(new: np.ndarray, who: np.ndarray, size: np.ndarray, place: np.ndarray, settings: Settings, allowed: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a > b: the pairs of different ``who`` within groups that begin where ``new`` is set, whose sizes and places allow the threshold."""
+    end = np.append(np.flatnonzero(new)[1:], len(new))[np.cumsum(new) - 1]
+    found, x, step = [np.zeros((0, 2), np.int64)], np.arange(len(new)), 1
+    while len(x := x[x + step < end[x]]):
+        y = x + step
+        step += 1
+        most = np.minimum(size[x] - place[x], size[y] - place[y])  # in common, if this is the first such shingle
+        ok = most >= settings.similarity / (1 + settings.similarity) * (size[x].astype(np.int64) + size[y]) - 1e-6
+        ok &= (who[x] != who[y]) & allowed(x, y)
+        a, b = who[x[ok]], who[y[ok]]
+        found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
+    a, b = np.unique(np.concatenate(found), axis=0).T
+    return a, b
+
+
+def unmet(texts: DataFrame, known: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): all pairs of different roots and of no crowd in common that may reach the threshold, from (key, text) and (key, nid, root, crowd);
+    crowd may be null. Shingles of at most ``crowd`` texts give their pairs where they lie, the texts of the others meet in cells."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["shingle"]):
+            few = table.filter(pa.compute.less_equal(table.column("n"), settings.crowd))
+            shingle, key, size, place = (few.column(c).to_numpy() for c in ("shingle", "key", "size", "place"))
+            a, b = _fitting(np.diff(shingle, prepend=shingle[:1] - 1) != 0, key, size, place, settings, lambda x, y: np.ones(len(x), bool))
+            none = pa.nulls(len(a), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none.cast(pa.int32()), none.cast(pa.int32())], ["key", "other", "shingle", "size", "place"])
+            many = table.filter(pa.compute.greater(table.column("n"), settings.crowd)).select(["key", "shingle", "size", "place"])
+            yield from many.add_column(1, "other", pa.nulls(len(many), pa.int64())).to_batches()
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["shingle", "i", "j"]):
+            shingle, i, j, side, nid, root, crowd, size, place = (table.column(c).to_numpy() for c in names)
+            new = np.ones(len(nid), bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            allowed = lambda x, y: (root[x] != root[y]) & (crowd[x] != crowd[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
+            a, b = _fitting(new, nid, size, place, settings, allowed)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    names = ["shingle", "i", "j", "side", "nid", "root", "crowd", "size", "place"]
+    mine = Window.partitionBy("shingle")
+    shared = prefixes(texts, settings).withColumns({"least": F.min("key").over(mine), "most": F.max("key").over(mine), "n": F.count("*").over(mine)}).filter("least <> most")
+    shared = shared.select("shingle", "key", "size", "place", "n").sortWithinPartitions("shingle")
+    found = settle(shared.mapInArrow(near, "key bigint, other bigint, shingle bigint, size int, place int"), "ngram-prefixes")
+    # a text without a crowd is its own, below all others
+    known = known.withColumn("crowd", F.coalesce("crowd", -1 - F.col("nid")))
+    ends = [known.select(F.col("key").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("nid", "root", "crowd")]) for c in ("key", "other")]
+    pairs = found.filter("other is not null").select("key", "other").distinct().join(ends[0], "key").join(ends[1], "other")
+    pairs = pairs.filter("root_key <> root_other and crowd_key <> crowd_other").select(F.greatest("nid_key", "nid_other").alias("a"), F.least("nid_key", "nid_other").alias("b"))
+    rows = found.filter("other is null").join(known, "key").select("shingle", "nid", "root", "crowd", "size", "place").distinct()
+    cells = dealt(settle(rows, "ngram-frequent"), ["shingle"], settings.crowd).select(*names)
+    return pairs.unionByName(cells.mapInArrow(far, "a bigint, b bigint")).distinct()
+
+
 def counted(cells: DataFrame, settings: Settings) -> DataFrame:
     """(nid, links) for each text of each cell: its links in the cell.
 
@@ -453,10 +609,29 @@ def linked(classes: DataFrame, texts: DataFrame, settings: Settings) -> tuple[Da
     # in nodes where not all have met, all pairs that are of different classes still
     named = joined.select(F.col("node").alias("nid"), F.col("root").alias("class"))
     classed = known.drop("root").join(named, "nid", "left").withColumn("root", F.coalesce("class", "nid")).drop("class")
-    crowd = crowds(classed, settings.beside, settings)
+    crowd = settle(crowds(classed, settings.beside, settings), "ngram-crowd")
     held = crowd.join(named, "nid", "left").select("crowd", "nid", F.coalesce("class", "nid").alias("root")).join(sets, "nid")
     late = linked_roots(settle(held, "ngram-crowds"), settings)
     edges = joined.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late)
+    met = settle(components(edges), "ngram-met")
+    # pairs that meet in no node, or are estimated too low
+    key = F.xxhash64("digest").alias("key")
+    known = classes.select("nid", key).join(met.select(F.col("node").alias("nid"), "root"), "nid", "left").join(crowd, "nid", "left")
+    known = settle(known.select("key", "nid", F.coalesce("root", "nid").alias("root"), "crowd"), "ngram-known")
+    pairs = settle(unmet(texts.filter("doc_id is not null").select(key, "text"), known, settings), "ngram-unmet")
+    ids = classes.select("nid", "doc_id", "digest")
+
+    def of(some: DataFrame) -> DataFrame:
+        """(nid, text) of the texts of some pairs."""
+        asked = some.select(F.col("a").alias("nid")).unionByName(some.select(F.col("b").alias("nid"))).distinct()
+        return texts.join(settle(asked.join(ids, "nid"), "ngram-asked"), ["doc_id", "digest"]).select("nid", "text")
+
+    # most of them share but a passage: an eighth of the shingles tells
+    pairs = settle(confirmed(pairs, shingle_parts(of(pairs), settings), settings).select("a", "b").distinct(), "ngram-near")
+    fresh = of(pairs).join(sigs.select("nid"), "nid", "left_anti")
+    sets = sets.unionByName(settle(shingle_sets(fresh, settings).groupBy("nid").agg(F.first("hashes").alias("hashes")), "ngram-more-sets"))
+    last = confirmed(pairs, sets, settings)
+    edges = met.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last.select("a", "b"))
     return settle(components(edges), "ngram-linked"), sets
 
 

@@ -76,3 +76,47 @@ def test_pipeline_drops_near_copies_in_a_crowded_node(spark, monkeypatch):
     df = spark.createDataFrame([(k, " ".join(t), "en", "web", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df.coalesce(1), "").collect()}
     assert kept == set(range(200)) - {60, 150, 199}
+
+
+def apart(spark, texts, settings):
+    """As ``one_node``, but no two texts meet in a node, and their signatures are unlike."""
+    rng = np.random.default_rng(6)
+    rows = [(k, " ".join(t), rng.bytes(settings.values), [(k + 1) << 12]) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sig binary, labels array<bigint>").withColumn("digest", ngram_join.digest_of(F.col("text")))
+    classes = settle(df.select(F.col("doc_id").alias("nid"), "doc_id", "digest", "sig", "labels"), "test-apart")
+    return {(r.node, r.root) for r in ngram_join.linked(classes, df.select("doc_id", "text", "digest"), settings)[0].collect()}
+
+
+@pytest.mark.parametrize("settings", [ngram_join.Settings(), ngram_join.Settings(block=8, crowd=4), ngram_join.Settings(often=1, last=50)])
+def test_links_of_texts_that_meet_in_no_node(spark, settings):
+    rng = np.random.default_rng(7)
+    line = [f"common{i}" for i in range(30)]
+    texts = [[f"t{k}w{i}" for i in range(rng.integers(1, 60))] + (line if k % 3 == 0 else []) for k in range(120)]
+    for k in range(120, 240):  # likeness from far below the threshold to far above
+        base = texts[int(rng.integers(0, 120))]
+        cut = int(rng.integers(0, 1 + len(base) // 6))
+        texts.append(base[cut:] + [f"n{k}w{i}" for i in range(int(rng.integers(0, 3)))])
+    texts = [list(t) for t in dict.fromkeys(map(tuple, [*texts, []]))]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    want = {(k, r) for k, r in enumerate(root) if root.count(r) > 1}
+    assert len(want) > 60
+    assert apart(spark, texts, settings) == want
+
+
+def test_pipeline_drops_near_copies_that_meet_in_no_node(spark, monkeypatch):
+    def alone(docs, settings):
+        sig = F.substring(F.concat(*[F.sha2(F.concat(F.lit(str(k)), "text"), 512) for k in range(settings.values // 128)]), 1, settings.values).cast("binary")
+        return docs.select("doc_id", "digest", sig.alias("sig"), F.array(F.shiftleft(F.xxhash64("digest"), 12)).alias("labels"))
+
+    monkeypatch.setattr(ngram_join, "signatures", alone)
+    texts = [text(k) for k in range(50)]
+    texts[40] = near(texts[10], 40)
+    df = spark.createDataFrame([(k, " ".join(t), "en", "web", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == set(range(50)) - {40}
