@@ -42,6 +42,10 @@ from gridloom.llm.shared import blocks, mix, settle, shingle_hashes, text_bytes
 
 #: Rows of nodes that a task takes in hand at once.
 HAND = 1 << 14
+#: Bits of the map that tells which texts a step asks for.
+SPOTS = 1 << 23
+#: Shingles of a stretch of texts in which frequent ones are counted.
+STRETCH = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -245,54 +249,79 @@ def _distinct_shingles(texts: pa.Array, settings: Settings) -> tuple[np.ndarray,
     return hashes[new], owner[new]
 
 
-def shingle_sets(texts: DataFrame, settings: Settings) -> DataFrame:
-    """(nid, hashes): the sorted distinct shingle hashes of (nid, text) as bytes."""
+def shingle_sets(texts: pa.Array, settings: Settings) -> pa.Array:
+    """The sorted distinct shingle hashes of each text as bytes."""
+    hashes, owner = _distinct_shingles(texts, settings)
+    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return pa.array([hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())
+
+
+def parities(texts: pa.Array, settings: Settings) -> pa.Array:
+    """For each text the number of its shingles, then a bit for each of its cells, two to four a shingle, by the low bits of the hashes: is the
+    number of shingles there odd? As 64-bit numbers in bytes."""
+    hashes, owner = _distinct_shingles(texts, settings)
+    sizes = np.bincount(owner, minlength=len(texts))
+    cells = np.maximum(64, 1 << np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64))
+    start = np.cumsum(cells) - cells
+    held = np.bincount(start[owner] + (hashes & (cells[owner] - 1).astype(np.uint64)).astype(np.int64), minlength=int(cells.sum()))
+    bits = np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+    return pa.array([int(n).to_bytes(8, "little") + bits[i // 8 : (i + k) // 8] for n, i, k in zip(sizes, start, cells)], pa.binary())
+
+
+def in_common(mine: np.ndarray, theirs: np.ndarray) -> tuple[float, float]:
+    """Sizes of what two sorted sets have in common, and of what they hold together."""
+    if not (len(mine) and len(theirs)):
+        return 0, 1
+    at = np.searchsorted(mine, theirs)
+    at[at == len(mine)] = 0
+    both = int((mine[at] == theirs).sum())
+    return both, len(mine) + len(theirs) - both
+
+
+def most_in_common(mine: np.ndarray, theirs: np.ndarray) -> tuple[float, float]:
+    """As ``in_common`` from ``parities``, the most that is possible: each odd cell of the two together holds a shingle that only one has. The
+    longer row of cells is folded; parities of folded cells are those of their sum."""
+    sizes, cells = (int(mine[0]), int(theirs[0])), min(len(mine), len(theirs)) - 1
+    odd = np.bitwise_xor.reduce(mine[1:].reshape(-1, cells)) ^ np.bitwise_xor.reduce(theirs[1:].reshape(-1, cells))
+    both = min(*sizes, (sum(sizes) - int(np.bitwise_count(odd).sum())) / 2)
+    return both, sum(sizes) - both
+
+
+def of_texts(texts: DataFrame, asked: DataFrame, make: Callable[[pa.Array, Settings], pa.Array], settings: Settings) -> DataFrame:
+    """(nid, hashes): what ``make`` gives for the texts of ``asked`` (nid, doc_id, digest). A bitmap of bounded size goes out with the tasks, so that
+    few other texts are worked on where they lie, and no text is shuffled."""
+    spot = F.pmod(F.xxhash64("digest"), F.lit(SPOTS)) + 1
+    rows = asked.groupBy(F.bitmap_bucket_number(spot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()  # bounded
+    wanted = np.zeros((SPOTS >> 15, 1 << 15), bool)
+    for r in rows:
+        wanted[r.part - 1] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    packed = np.packbits(wanted.reshape(-1)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 19):
-            hashes, owner = _distinct_shingles(batch.column("text"), settings)
-            at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array([hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["nid", "hashes"])
-
-    return texts.mapInArrow(run, "nid bigint, hashes binary")
-
-
-def shingle_parts(texts: DataFrame, settings: Settings) -> DataFrame:
-    """(nid, hashes, left): of each text's shingle hashes those in the lowest eighth of all numbers, and how many others it has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 19):
-            hashes, owner = _distinct_shingles(batch.column("text"), settings)
-            low, n = hashes < np.uint64(1 << 61), batch.num_rows
-            left = np.bincount(owner[~low], minlength=n)
-            hashes, owner = hashes[low], owner[low]
-            at = np.searchsorted(owner, np.arange(n + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("nid"), pa.array([hashes[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary()), pa.array(left)], ["nid", "hashes", "left"])
-
-    return texts.mapInArrow(run, "nid bigint, hashes binary, left bigint")
+        wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for batch in batches:
+            mine = batch.filter(pa.array(wanted[batch.column("spot").to_numpy() - 1]))
+            for block in blocks([mine], "text", 1 << 19):
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("digest"), make(block.column("text"), settings)], ["doc_id", "digest", "hashes"])
 
+    made = texts.filter("doc_id is not null").select("doc_id", "digest", spot.alias("spot"), "text").mapInArrow(run, "doc_id bigint, digest binary, hashes binary")
+    # rows that repeat a doc_id with its text are one set
+    return made.join(asked, ["doc_id", "digest"]).groupBy("doc_id", "digest", "nid").agg(F.first("hashes").alias("hashes")).select("nid", "hashes")
 
-def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b, likeness) of the pairs whose exact likeness reaches the threshold. A text b with many partners has them in parts of ``block``.
 
-    Of parts of sets, with ``left`` shingles beside them, the likeness is the greatest possible one: no pair at the threshold is left out."""
-    sets = sets if "left" in sets.columns else sets.withColumn("left", F.lit(0).cast("bigint"))
+def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings, common: Callable[[np.ndarray, np.ndarray], tuple[float, float]] = in_common) -> DataFrame:
+    """(a, b, likeness) of the pairs whose likeness by ``common`` reaches the threshold. A text b with many partners has them in parts of ``block``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, mine, more = None, None, 0
+        centre, mine = None, None
         for batch in batches:
             found = []
-            for b, nid, hashes, left in zip(*[batch.column(c).to_pylist() for c in ("b", "nid")], batch.column("hashes"), batch.column("left").to_pylist()):
+            for b, nid, hashes in zip(*[batch.column(c).to_pylist() for c in ("b", "nid")], batch.column("hashes")):
                 theirs = np.frombuffer(hashes.as_buffer(), np.uint64)
                 if nid == b:
-                    centre, mine, more = b, theirs, left
-                elif centre == b and len(mine) + more and len(theirs) + left:
-                    both = min(more, left)
-                    if len(mine):
-                        at = np.searchsorted(mine, theirs)
-                        at[at == len(mine)] = 0
-                        both += int((mine[at] == theirs).sum())
-                    either = len(mine) + more + len(theirs) + left - both
+                    centre, mine = b, theirs
+                elif centre == b:
+                    both, either = common(mine, theirs)
                     if both >= settings.similarity * either - 1e-9:
                         found.append((nid, b, both / either))
             a, b, likeness = zip(*found) if found else ((), (), ())
@@ -301,7 +330,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFram
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / settings.block).cast("int").alias("parts"))
     placed = settle(pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part")), "ngram-cells")  # read twice
     rows = placed.select("b", "part", F.col("a").alias("nid")).unionByName(placed.select("b", "part", F.col("b").alias("nid")).distinct())
-    cells = rows.join(sets, "nid").select("b", "part", "nid", "hashes", "left").repartition("b", "part").sortWithinPartitions("b", "part", "nid")  # b is the least
+    cells = rows.join(sets, "nid").select("b", "part", "nid", "hashes").repartition("b", "part").sortWithinPartitions("b", "part", "nid")  # b is the least
     return cells.mapInArrow(run, "a bigint, b bigint, likeness double")
 
 
@@ -401,7 +430,7 @@ def linked_roots(held: DataFrame, settings: Settings) -> DataFrame:
 
 
 def frequent(texts: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of at most ``last`` frequent shingles, and how often stretches of a million shingles hold them."""
+    """The upper halves, sorted, of the hashes of at most ``last`` frequent shingles, and how often stretches of texts hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -409,11 +438,11 @@ def frequent(texts: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarr
         def done() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts >= settings.often
-            return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many])], ["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values[many].astype(np.int64)), pa.array(counts[many])], ["shingle", "n"])
 
         for batch in blocks(batches, "text", 1 << 19):
-            held.append(shingle_hashes(*text_bytes(batch.column("text")), settings.size)[0])
-            if sum(len(x) for x in held) >= 1 << 20:
+            held.append((shingle_hashes(*text_bytes(batch.column("text")), settings.size)[0] >> np.uint64(32)).astype(np.uint32))
+            if sum(len(x) for x in held) >= STRETCH:
                 yield done()
                 held = []
         if held:
@@ -421,7 +450,7 @@ def frequent(texts: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarr
 
     counts = texts.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     rows = counts.orderBy(F.desc("n"), "shingle").limit(settings.last).collect()  # bounded
-    hashes, n = np.array([r.shingle for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    hashes, n = np.array([r.shingle for r in rows], np.int64).astype(np.uint32), np.array([r.n for r in rows], np.int64)
     order = np.argsort(hashes)
     return hashes[order], n[order]
 
@@ -436,8 +465,9 @@ def prefixes(texts: DataFrame, settings: Settings) -> DataFrame:
             hashes, owner = _distinct_shingles(batch.column("text"), settings)
             weight = np.zeros(len(hashes), np.int64)
             if len(late):
-                at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
-                weight = np.where(late[at] == hashes, weights[at], 0)
+                short = (hashes >> np.uint64(32)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(late, short), len(late) - 1)
+                weight = np.where(late[at] == short, weights[at], 0)
             order = np.lexsort((hashes, weight, owner))
             sizes = np.bincount(owner, minlength=batch.num_rows)
             place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -487,40 +517,44 @@ def _fitting(new: np.ndarray, who: np.ndarray, size: np.ndarray, place: np.ndarr
 
 def unmet(texts: DataFrame, known: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): all pairs of different roots and of no crowd in common that may reach the threshold, from (key, text) and (key, nid, root, crowd);
-    crowd may be null. Shingles of at most ``crowd`` texts give their pairs where they lie, the texts of the others meet in cells."""
+    crowd may be null. Shingles of at most ``crowd`` texts give their pairs where they lie, the texts of the others meet in cells.
+
+    Where the shared shingles of two texts that come before a shingle end with the same one, the pair is given there already, and not again."""
+    names = ["shingle", "nid", "root", "crowd", "size", "place", "before"]
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["shingle"]):
             few = table.filter(pa.compute.less_equal(table.column("n"), settings.crowd))
-            shingle, key, size, place = (few.column(c).to_numpy() for c in ("shingle", "key", "size", "place"))
-            a, b = _fitting(np.diff(shingle, prepend=shingle[:1] - 1) != 0, key, size, place, settings, lambda x, y: np.ones(len(x), bool))
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none.cast(pa.int32()), none.cast(pa.int32())], ["key", "other", "shingle", "size", "place"])
-            many = table.filter(pa.compute.greater(table.column("n"), settings.crowd)).select(["key", "shingle", "size", "place"])
-            yield from many.add_column(1, "other", pa.nulls(len(many), pa.int64())).to_batches()
+            shingle, nid, root, crowd, size, place, before = (few.column(c).to_numpy() for c in names)
+            allowed = lambda x, y: (root[x] != root[y]) & (crowd[x] != crowd[y]) & ((before[x] != before[y]) | (before[x] < 0))
+            a, b = _fitting(np.diff(shingle, prepend=shingle[:1] - 1) != 0, nid, size, place, settings, allowed)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), few.schema.field(c).type) for c in names]], ["a", "b", *names])
+            many = table.filter(pa.compute.greater(table.column("n"), settings.crowd)).select(names)
+            for c in ("b", "a"):
+                many = many.add_column(0, c, pa.nulls(len(many), pa.int64()))
+            yield from many.to_batches()
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["shingle", "i", "j"]):
-            shingle, i, j, side, nid, root, crowd, size, place = (table.column(c).to_numpy() for c in names)
+            shingle, nid, root, crowd, size, place, before, i, j, side = (table.column(c).to_numpy() for c in [*names, "i", "j", "side"])
             new = np.ones(len(nid), bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            allowed = lambda x, y: (root[x] != root[y]) & (crowd[x] != crowd[y]) & ((i[x] == j[x]) | (side[x] != side[y]))
+            allowed = lambda x, y: (root[x] != root[y]) & (crowd[x] != crowd[y]) & ((before[x] != before[y]) | (before[x] < 0)) & ((i[x] == j[x]) | (side[x] != side[y]))
             a, b = _fitting(new, nid, size, place, settings, allowed)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    names = ["shingle", "i", "j", "side", "nid", "root", "crowd", "size", "place"]
     mine = Window.partitionBy("shingle")
-    shared = prefixes(texts, settings).withColumns({"least": F.min("key").over(mine), "most": F.max("key").over(mine), "n": F.count("*").over(mine)}).filter("least <> most")
-    shared = shared.select("shingle", "key", "size", "place", "n").sortWithinPartitions("shingle")
-    found = settle(shared.mapInArrow(near, "key bigint, other bigint, shingle bigint, size int, place int"), "ngram-prefixes")
+    shared = prefixes(texts, settings).withColumns({"least": F.min("key").over(mine), "most": F.max("key").over(mine)}).filter("least <> most")
+    shared = shared.select("shingle", "key", "size", "place").distinct()
     # a text without a crowd is its own, below all others
     known = known.withColumn("crowd", F.coalesce("crowd", -1 - F.col("nid")))
-    ends = [known.select(F.col("key").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("nid", "root", "crowd")]) for c in ("key", "other")]
-    pairs = found.filter("other is not null").select("key", "other").distinct().join(ends[0], "key").join(ends[1], "other")
-    pairs = pairs.filter("root_key <> root_other and crowd_key <> crowd_other").select(F.greatest("nid_key", "nid_other").alias("a"), F.least("nid_key", "nid_other").alias("b"))
-    rows = found.filter("other is null").join(known, "key").select("shingle", "nid", "root", "crowd", "size", "place").distinct()
-    cells = dealt(settle(rows, "ngram-frequent"), ["shingle"], settings.crowd).select(*names)
-    return pairs.unionByName(cells.mapInArrow(far, "a bigint, b bigint")).distinct()
+    earlier = F.lag("shingle", 1, -1).over(Window.partitionBy("key", "nid").orderBy("place"))
+    rows = shared.join(known, "key").withColumn("before", earlier).select(*names)
+    rows = rows.withColumns({"least": F.min("root").over(mine), "most": F.max("root").over(mine), "n": F.count("*").over(mine)}).filter("least <> most")
+    kinds = ", ".join(f"{c} {'int' if c in ('size', 'place') else 'bigint'}" for c in names)
+    found = settle(rows.select(*names, "n").sortWithinPartitions("shingle").mapInArrow(near, f"a bigint, b bigint, {kinds}"), "ngram-prefixes")
+    cells = dealt(settle(found.filter("a is null").select(*names), "ngram-frequent"), ["shingle"], settings.crowd).select(*names, "i", "j", "side")
+    return found.filter("a is not null").select("a", "b").unionByName(cells.mapInArrow(far, "a bigint, b bigint")).distinct()
 
 
 def counted(cells: DataFrame, settings: Settings) -> DataFrame:
@@ -586,9 +620,7 @@ def linked(classes: DataFrame, texts: DataFrame, settings: Settings) -> tuple[Da
     members = settle(trie_members(classes, settings), "trie-members")
     # the texts that meet another one in some node; the others have no links
     sigs = settle(classes.select("nid", "doc_id", "digest", "sig").join(members.select("nid").distinct(), "nid", "left_semi"), "trie-texts")
-    held = texts.join(sigs.select("nid", "doc_id", "digest"), ["doc_id", "digest"]).select("nid", "text")
-    # rows that repeat a doc_id with its text are one set
-    sets = settle(shingle_sets(held, settings).groupBy("nid").agg(F.first("hashes").alias("hashes")), "ngram-sets")
+    sets = settle(of_texts(texts, sigs.select("nid", "doc_id", "digest"), shingle_sets, settings), "ngram-sets")
     known = settle(members.join(sigs.select("nid", "sig"), "nid").withColumn("root", F.col("nid")), "ngram-nodes")
     long = settle(ties(known, [0], 1, settings), "ngram-long")
     both = long.select(F.col("a").alias("u"), F.col("b").alias("v"), "estimate").unionByName(long.select(F.col("b").alias("u"), F.col("a").alias("v"), "estimate"))
@@ -620,16 +652,12 @@ def linked(classes: DataFrame, texts: DataFrame, settings: Settings) -> tuple[Da
     known = settle(known.select("key", "nid", F.coalesce("root", "nid").alias("root"), "crowd"), "ngram-known")
     pairs = settle(unmet(texts.filter("doc_id is not null").select(key, "text"), known, settings), "ngram-unmet")
     ids = classes.select("nid", "doc_id", "digest")
-
-    def of(some: DataFrame) -> DataFrame:
-        """(nid, text) of the texts of some pairs."""
-        asked = some.select(F.col("a").alias("nid")).unionByName(some.select(F.col("b").alias("nid"))).distinct()
-        return texts.join(settle(asked.join(ids, "nid"), "ngram-asked"), ["doc_id", "digest"]).select("nid", "text")
-
-    # most of them share but a passage: an eighth of the shingles tells
-    pairs = settle(confirmed(pairs, shingle_parts(of(pairs), settings), settings).select("a", "b").distinct(), "ngram-near")
-    fresh = of(pairs).join(sigs.select("nid"), "nid", "left_anti")
-    sets = sets.unionByName(settle(shingle_sets(fresh, settings).groupBy("nid").agg(F.first("hashes").alias("hashes")), "ngram-more-sets"))
+    ends = lambda some: some.select(F.col("a").alias("nid")).unionByName(some.select(F.col("b").alias("nid"))).distinct()
+    # most of them share but a passage: parities of cells tell
+    asked = settle(ids.join(ends(pairs), "nid"), "ngram-asked")
+    pairs = settle(confirmed(pairs, of_texts(texts, asked, parities, settings), settings, most_in_common).select("a", "b"), "ngram-near")
+    fresh = settle(asked.join(ends(pairs), "nid", "left_semi").join(sigs.select("nid"), "nid", "left_anti"), "ngram-fresh")
+    sets = sets.unionByName(settle(of_texts(texts, fresh, shingle_sets, settings), "ngram-more-sets"))
     last = confirmed(pairs, sets, settings)
     edges = met.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last.select("a", "b"))
     return settle(components(edges), "ngram-linked"), sets

@@ -1,6 +1,7 @@
 """Links in nodes with more members than neighbours in the order of labels."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,62 @@ def test_pipeline_drops_near_copies_that_meet_in_no_node(spark, monkeypatch):
     texts[40] = near(texts[10], 40)
     df = spark.createDataFrame([(k, " ".join(t), "en", "web", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == set(range(50)) - {40}
+
+
+def given(spark, monkeypatch, texts, roots):
+    """The rows that leave the prefixes' shingles, and the pairs of ``unmet``."""
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = settle(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(ngram_join, "settle", keep)
+    known = spark.createDataFrame([(k, k, r, None) for k, r in enumerate(roots)], "key long, nid long, root long, crowd long")
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "key long, text string")
+    pairs = [(r.a, r.b) for r in ngram_join.unmet(df, known, ngram_join.Settings()).collect()]
+    return kept["ngram-prefixes"].count(), pairs
+
+
+def test_texts_of_one_class_leave_no_pairs(spark, monkeypatch):
+    base = text(0)
+    texts = [near(base, k) for k in range(60)] + [near(base, k, 8) for k in range(60, 63)]
+    rows, pairs = given(spark, monkeypatch, texts, [0] * 60 + [60, 61, 62])
+    assert all(a >= 60 for a, _ in pairs) and {(60, 0), (61, 60)} <= set(pairs)
+    assert rows <= 5 * len(pairs)
+
+
+def test_a_run_of_shared_shingles_gives_its_pair_once(spark, monkeypatch):
+    base = text(0)
+    rows, pairs = given(spark, monkeypatch, [near(base, k, 1) for k in range(30)], range(30))
+    assert sorted(pairs) == [(a, b) for a in range(30) for b in range(a)]
+    assert rows <= 2 * len(pairs)
+
+
+def test_parities_never_rule_out_a_link():
+    rng, settings = np.random.default_rng(8), ngram_join.Settings()
+    told = 0
+    for k in range(300):
+        n, other = int(rng.integers(1, 400)), int(rng.integers(0, 90))
+        one = [f"w{k}x{i}" for i in range(n)]
+        two = one[int(rng.integers(0, 1 + n // 5)) :] + [f"o{k}x{i}" for i in range(other)]
+        texts = pa.array([" ".join(one), " ".join(two)])
+        sets, marks = ([np.frombuffer(x.as_py(), np.uint64) for x in make(texts, settings)] for make in (ngram_join.shingle_sets, ngram_join.parities))
+        both, either = ngram_join.in_common(*sets)
+        most, least = ngram_join.most_in_common(*marks)
+        assert ngram_join.most_in_common(*marks[::-1]) == (most, least)
+        assert most >= both and least <= either
+        told += both < 0.7 * either and most < 0.8 * least
+    assert told > 50
+
+
+def test_texts_are_worked_on_where_they_lie(spark):
+    settings = ngram_join.Settings()
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "g h"), (4, ""), (None, "i j")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", ngram_join.digest_of(F.col("text")))
+    asked = texts.filter("doc_id in (1, 4) or doc_id = 3").select((F.col("doc_id") * 10).alias("nid"), "doc_id", "digest").distinct()
+    made = ngram_join.of_texts(texts, asked, ngram_join.shingle_sets, settings)
+    assert {r.nid: len(r.hashes) for r in made.collect()} == {10: 16, 30: 8, 40: 0} and made.count() == 3
+    assert ngram_join.of_texts(texts, asked.limit(0), ngram_join.shingle_sets, settings).count() == 0
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")  # the texts stand below the task's work, only its bytes are joined
